@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyfold.llm import simhash, token_count
+from keyfold.llm import line_dedup, ngram_quality, simhash, token_count
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +18,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_docs(spark, sf_dir), limit=512)
 
 
+def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return ngram_quality.quality(_docs(spark, sf_dir), trusted)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per removed unit: its document and offsets, and where its first occurrence stands."""
+    gone = line_dedup.removed_units(_docs(spark, sf_dir))
+    return gone.select(F.col("id").alias("doc_id"), "start", "stop", F.col("first_id").alias("first_doc_id"), "first_start")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_quality": op2_ngram_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
 }
