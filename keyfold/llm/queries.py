@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import line_dedup, ngram_quality, phrase_index, simhash, token_count
+from keyfold.llm import line_dedup, ngram_quality, packing, phrase_index, simhash, token_count
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality(_docs(spark, sf_dir), trusted)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
@@ -41,6 +45,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_quality": op2_ngram_quality,
+    "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
