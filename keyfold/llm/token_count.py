@@ -6,9 +6,9 @@ extra columns of the input are ignored.
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,49 +39,48 @@ class PairMerger:
         vocab = model["model"]["vocab"]
         alphabet = byte_alphabet()
         self.first = [vocab[alphabet[b]] for b in range(256)]
-        self.rank: dict[int, int] = {}
+        self.rank: dict[tuple[int, int], int] = {}
         self.made: list[int] = []
         for pair in model["model"]["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank.setdefault(vocab[left] << 20 | vocab[right], len(self.made))
+            self.rank.setdefault((vocab[left], vocab[right]), len(self.made))
             self.made.append(vocab[left + right])
         self.special = sorted((t["content"] for t in model["added_tokens"]), key=len, reverse=True)
 
     def count(self, piece: bytes) -> int:
-        """Initial symbols less merges.  The heap holds (rank, place); a popped pair counts only if it is still there."""
+        """Initial symbols less merges.
+
+        An entry of the heap is rank * size + place, so the lowest rank, leftmost first, is on top; a popped pair
+        counts only if it still stands there.  `after` and `before` link the symbols that are left.
+        """
         n = len(piece)
         if n < 2:
             return n
-        symbol = [self.first[b] for b in piece]
-        rank, get, made = self.rank, self.rank.get, self.made
-        heap = []
-        for i in range(n - 1):
-            r = get(symbol[i] << 20 | symbol[i + 1])
-            if r is not None:
-                heap.append((r, i))
-        heapq.heapify(heap)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        merges = 0
+        symbol = [*map(self.first.__getitem__, piece)]
+        get, made = self.rank.get, self.made
+        heap = [r * n + i for i, r in enumerate(map(get, zip(symbol, symbol[1:]))) if r is not None]
+        if not heap:
+            return n
+        heapify(heap)
+        after = [*range(1, n + 1)]
+        before = [*range(-1, n - 1)]
+        left = n
         while heap:
-            r, i = heapq.heappop(heap)
-            a = symbol[i]
-            if a < 0 or (j := after[i]) >= n or rank.get(a << 20 | symbol[j]) != r:
+            r, i = divmod(heappop(heap), n)
+            j = after[i]
+            if j >= n or get((symbol[i], symbol[j])) != r:
                 continue
-            merges += 1
-            symbol[i], symbol[j] = made[r], -1
-            k = after[i] = after[j]
+            left -= 1
+            symbol[j] = -1
+            symbol[i] = new = made[r]
+            after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                q = get(symbol[i] << 20 | symbol[k])
-                if q is not None:
-                    heapq.heappush(heap, (q, i))
-            h = before[i]
-            if h >= 0:
-                q = get(symbol[h] << 20 | symbol[i])
-                if q is not None:
-                    heapq.heappush(heap, (q, h))
-        return n - merges
+                if (q := get((new, symbol[k]))) is not None:
+                    heappush(heap, q * n + i)
+            if (h := before[i]) >= 0 and (q := get((symbol[h], new))) is not None:
+                heappush(heap, q * n + h)
+        return left
 
 
 def unassigned() -> str:
@@ -111,6 +110,8 @@ def counter(tokenizer: str, remembered: int = REMEMBERED) -> Callable[[str], int
 
     class Counts(dict):
         def __missing__(self, word: str) -> int:
+            if not word.isascii() and odd(word):
+                raise KeyError(word)  # never remembered, so found in every text that has it
             n = merger.count(word.encode())
             if len(self) < remembered:
                 self[word] = n
@@ -119,9 +120,10 @@ def counter(tokenizer: str, remembered: int = REMEMBERED) -> Callable[[str], int
     counts = Counts()
 
     def plain(text: str) -> int:
-        if not text.isascii() and odd(text):
-            return sum(counts[text[a:b]] for _, (a, b) in slow(text))
-        return sum(map(counts.__getitem__, cut(text)))
+        try:
+            return sum(map(counts.__getitem__, cut(text)))
+        except KeyError:
+            return sum(merger.count(text[a:b].encode()) for _, (a, b) in slow(text))
 
     def tokens(text: str) -> int:
         if at_special is None or not any(s in text for s in merger.special):
