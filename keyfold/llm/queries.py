@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import line_dedup, ngram_quality, packing, phrase_index, simhash, token_count
+from keyfold.llm import common, line_dedup, ngram_quality, packing, phrase_index, simhash, token_count, toxicity
+
+
+TOXIC = 0.7
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_docs(spark, sf_dir), limit=512)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(common.remainder("doc_id", 3) != 1)
+    return toxicity.learn(_docs(spark, sf_dir), labels.select(F.col("doc_id").alias("id"), "toxic"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(_docs(spark, sf_dir), toxicity_model(spark, sf_dir))
+    held_out = (common.remainder("doc_id", 3) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("matches").alias("n_matches"))
+
+
 def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id"))
     return ngram_quality.quality(_docs(spark, sf_dir), trusted)
@@ -44,6 +58,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_quality": op2_ngram_quality,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
