@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import common, line_dedup, ngram_quality, packing, phrase_index, simhash, token_count, toxicity
+from keyfold.llm import common, language_id, line_dedup, ngram_quality, packing, phrase_index, simhash, token_count, toxicity
 
 
 TOXIC = 0.7
@@ -47,6 +47,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    net = language_id.learn(docs.where(common.remainder("doc_id", 4) != 2))
+    found = language_id.label(docs, net)
+    return found.select("doc_id", (common.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed unit: its document and offsets, and where its first occurrence stands."""
     gone = line_dedup.removed_units(_docs(spark, sf_dir))
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_quality": op2_ngram_quality,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
