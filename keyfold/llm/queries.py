@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import common, language_id, line_dedup, ngram_quality, packing, phrase_index, simhash, token_count, toxicity
+from keyfold.llm import common, language_id, line_dedup, maxent_lm, ngram_quality, packing, phrase_index, simhash, token_count, toxicity
 
 
 TOXIC = 0.7
@@ -37,6 +37,13 @@ def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality(_docs(spark, sf_dir), trusted)
 
 
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = maxent_lm.score(docs, docs.where(common.remainder("doc_id", 7) != 2))
+    held_out = (common.remainder("doc_id", 7) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
@@ -67,6 +74,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_quality": op2_ngram_quality,
+    "op3_maxent_lm": op3_maxent_lm,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
