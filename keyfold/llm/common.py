@@ -68,6 +68,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows that may be broadcast: a few tens of megabytes of keys.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows; beyond, joins with it shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def tokenizer_json(path: str | None = None) -> str:
     """The byte-level BPE file's text; path: a place that the driver can read."""
     if path is None:

@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm import common
@@ -42,10 +42,9 @@ def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, i
                 yield at + len(whole) - len(whole.lstrip()), at + len(whole.rstrip()), " ".join(words)
 
 
-def unit_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def unit_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, row: Column) -> DataFrame:
     """(id, row, start, stop, h1, h2) of every unit; row tells repeated ids apart."""
     common.ship(docs.sparkSession)
-    row = docs["row"] if "row" in docs.columns else F.monotonically_increasing_id()
     rows = docs.select(docs[id_col].cast("long").alias("id"), row.alias("row"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +63,9 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
     return rows.mapInArrow(run, "id long, row long, start int, stop int, h1 long, h2 long")
 
 
-def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, row: Column | None = None) -> DataFrame:
     """(id, row, start, stop, first_id, first_start) of every unit that repeats an earlier one; code-point offsets, end exclusive."""
-    u = common.materialize(unit_table(docs, id_col, text_col, min_words), "units")
+    u = common.materialize(unit_table(docs, id_col, text_col, min_words, F.monotonically_increasing_id() if row is None else row), "units")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     first = u.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = u.join(first, ["h1", "h2"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
@@ -75,12 +74,13 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text less its repeated units, and `kept`: the (start, stop) offsets of what is left in the original."""
-    held = common.materialize(docs.drop("row", "kept").withColumn("row", F.monotonically_increasing_id()), "docs")
-    spans = removed_units(held, id_col, text_col, min_words).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    held = common.materialize(docs.drop("kept").withColumn("__row", F.monotonically_increasing_id()), "docs")
+    spans = removed_units(held, id_col, text_col, min_words, held["__row"])
+    spans = spans.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__gone"))
     n = F.coalesce(F.length(text_col), F.lit(0))
-    gone = F.coalesce("gone", F.array().cast("array<struct<start:int,stop:int>>"))
+    gone = F.coalesce("__gone", F.array().cast("array<struct<start:int,stop:int>>"))
     edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), gone, F.array(F.struct(n.alias("start"), n.alias("stop"))))
-    kept = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.struct(F.col("edges")[i - 1]["stop"].alias("start"), F.col("edges")[i]["start"].alias("stop")))
-    out = held.join(spans, "row", "left").withColumn("edges", edges).withColumn("kept", F.filter(kept, lambda s: s["start"] < s["stop"]))
+    between = F.transform(F.sequence(F.lit(1), F.size("__edges") - 1), lambda i: F.struct(F.get("__edges", i - 1)["stop"].alias("start"), F.get("__edges", i)["start"].alias("stop")))
+    out = held.join(spans, "__row", "left").withColumn("__edges", edges).withColumn("kept", F.filter(between, lambda s: s["start"] < s["stop"]))
     text = F.array_join(F.transform("kept", lambda s: F.substring(F.col(text_col), s["start"] + 1, s["stop"] - s["start"])), "")
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).drop("row", "gone", "edges")
+    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).select(*docs.drop("kept").columns, "kept")

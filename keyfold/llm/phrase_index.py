@@ -8,7 +8,7 @@
    survive for a window if both anchors are posted there.
 5. The words around the rarest anchor confirm the phrase exactly, or for proximity() how far the other anchor is.
 
-Only the benchmark's terms and windows are broadcast, and only up to BROADCAST_ROWS of them; beyond, the same joins run
+Only the benchmark's terms and windows are broadcast, and only up to common.BROADCAST_ROWS of them; beyond, the same joins run
 by shuffle.  Groups are one document's alignment with one item, so no term's list is ever gathered.
 
 Rows are known by two hashes of id and text: repeated rows get equal results, null ids are allowed.  Null and empty
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from keyfold.llm import common
 
 WINDOW = 10
-BROADCAST_ROWS = 1 << 18
 
 
 def lower_ascii(text: Column) -> Column:
@@ -45,11 +44,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(i.alias("id"), F.xxhash64(F.lit(1), i, text).alias("k1"), F.xxhash64(text, F.lit(2), i).alias("k2"), words_of(text).alias("words"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, item_id, words), one row for each distinct item."""
     text = items[text_col].cast("string")
@@ -60,7 +54,7 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(term, n): how often each item term occurs in the corpus; docs: from _keyed, items: from item_words."""
     vocabulary = common.materialize(items.select(F.explode("words").alias("term")).distinct(), "terms")
-    return docs.select(F.explode("words").alias("term")).join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return docs.select(F.explode("words").alias("term")).join(common.small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def windows(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -79,7 +73,7 @@ def windows(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
 
 def build_index(docs: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
     """The stored postings (term, k1, k2, pos, around); anchors: (term, first); around: up to reach words on either side, for first terms."""
-    posted = docs.select("k1", "k2", "words", F.posexplode("words").alias("pos", "term")).join(_small(anchors), "term")
+    posted = docs.select("k1", "k2", "words", F.posexplode("words").alias("pos", "term")).join(common.small(anchors), "term")
     around = F.when(F.col("first"), F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1))
     return common.materialize(posted.select("term", "k1", "k2", "pos", around.alias("around")), "postings")
 
@@ -96,13 +90,13 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     """(k1, k2, start, stop, item_id) of every occurrence of a window in a document, positions in words."""
     w, postings = _search(docs, items, window)
     places = w.select(F.col("t1").alias("term"), "item", F.col("a1").alias("place")).union(w.select("t2", "item", "a2")).distinct()
-    aligned = postings.join(_small(places), "term")
+    aligned = postings.join(common.small(places), "term")
     # intersection of the adjusted lists: one small group for each alignment of an item with a document
     lists = aligned.groupBy("k1", "k2", "item", (F.col("pos") - F.col("place")).alias("shift")).agg(
         F.collect_set("place").alias("places"), F.collect_list(F.when(F.col("around").isNotNull(), F.struct("place", "around"))).alias("rare")
     )
     found = lists.select("k1", "k2", "item", "shift", "places", F.explode("rare").alias("x")).select("k1", "k2", "item", "shift", "places", F.col("x.place").alias("a1"), F.col("x.around").alias("around"))
-    met = found.join(_small(w), ["item", "a1"]).where(F.array_contains("places", F.col("a2")))
+    met = found.join(common.small(w), ["item", "a1"]).where(F.array_contains("places", F.col("a2")))
     start = F.col("shift") + F.col("start")
     base = F.greatest(F.col("shift") + F.col("a1") - (window - 1), F.lit(0))
     met = met.withColumn("begin", start).where("begin >= 0").where(F.slice("around", F.col("begin") - base + 1, F.size("phrase")) == F.col("phrase"))
@@ -117,7 +111,7 @@ def proximity(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_tex
     rows = _keyed(docs, doc_id, doc_text)
     w, postings = _search(rows, item_words(items, item_id, item_text), window)
     pairs = w.select("item_id", "t1", "t2").distinct()
-    near = postings.where("around is not null").join(_small(pairs), F.col("term") == F.col("t1")).select("k1", "k2", "item_id", "pos", "t1", "t2", F.posexplode("around").alias("at", "other"))
+    near = postings.where("around is not null").join(common.small(pairs), F.col("term") == F.col("t1")).select("k1", "k2", "item_id", "pos", "t1", "t2", F.posexplode("around").alias("at", "other"))
     apart = F.col("at") - F.least(F.col("pos"), F.lit(window - 1))
     near = near.where((F.col("other") == F.col("t2")) & (apart != 0)).select("k1", "k2", "item_id", "pos", F.abs(apart).alias("apart")).groupBy("k1", "k2", "item_id", "pos").agg(F.min("apart").alias("apart"))
     return rows.select("id", "k1", "k2").join(near, ["k1", "k2"]).select("id", "item_id", F.col("pos").alias("start"), "apart")
@@ -142,3 +136,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     out = out.select(F.col("id").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), spans.alias("spans"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, that no window hits."""
+    hits = phrase_hits(_keyed(docs, doc_id, doc_text), item_words(items, item_id, item_text), window)
+    bad = common.materialize(hits.select("k1", "k2").distinct(), "contaminated")
+    text = docs[doc_text].cast("string")
+    here = [F.xxhash64(F.lit(1), docs[doc_id], text) == bad["k1"], F.xxhash64(text, F.lit(2), docs[doc_id]) == bad["k2"]]
+    return docs.join(common.small(bad), here, "left_anti")

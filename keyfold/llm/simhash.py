@@ -216,3 +216,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(classes, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = BUDGET) -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest id of their class; one row where an id repeats.
+
+    Rows with a null id stay.  Text is shuffled only if the ids to drop are too many to broadcast, or an id repeats.
+    """
+    found = common.materialize(near_duplicates(docs, id_col, text_col, shingle, budget).select(F.col(id_col).alias("gone"), "component_id"), "classes")
+    drop = found.where("gone <> component_id").select("gone").distinct()
+    left = docs.join(common.small(drop), docs[id_col] == drop["gone"], "left_anti")
+    again = found.where("gone = component_id").groupBy("gone").count().where("count > 1").select("gone")
+    if again.isEmpty():
+        return left
+    again = common.small(common.materialize(again, "repeated"))
+    once = left.join(again, left[id_col] == again["gone"], "left_semi").dropDuplicates([id_col])
+    return left.join(again, left[id_col] == again["gone"], "left_anti").unionByName(once)

@@ -246,3 +246,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, score double, weight double, n_words long, matches array<struct<start:int,stop:int,weight:double>>").withColumnRenamed("id", id_col)
+
+
+def drop(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score less than threshold: a narrow filter."""
+    common.ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [model.score(*model.features(t.as_py())[:2]) < threshold for t in b.column(at)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
