@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
 THRESHOLD = -0.1
+PSEUDO = 10.0
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -95,14 +96,17 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """One row, one array: log(p_target / p_corpus) by bucket, both with add-one smoothing; trusted: the ids in a column id."""
+    """One row, one array: log(p_target / p_corpus) by bucket; trusted: the ids in a column id.
+
+    Corpus counts are scaled to the target's size and both get PSEUDO counts a bucket, so that buckets too rare to tell weigh nothing.
+    """
     sample = trusted.where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(target_rows)
     rows = docs.select(docs[id_col].alias("id"), words_of(docs[text_col].cast("string")).alias("words"))
     rows = rows.join(F.broadcast(sample.withColumn("trusted", F.lit(1))), "id", "left")  # at most target_rows ids
     counts = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(grams(F.col("words"), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
     table = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left").na.fill(0)
     total = table.agg(F.sum("r").alias("rs"), F.sum("t").alias("ts"), F.sort_array(F.collect_list(F.struct("b", "r", "t"))).alias("x"))
-    ratio = F.transform("x", lambda x: F.log((x["t"] + 1) / (F.col("ts") + buckets)) - F.log((x["r"] + 1) / (F.col("rs") + buckets)))
+    ratio = F.transform("x", lambda x: F.log((x["t"] + PSEUDO) / (x["r"] * (F.col("ts") / F.col("rs")) + PSEUDO)))
     return total.select(F.when(F.col("ts") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("w"))
 
 
