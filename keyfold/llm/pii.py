@@ -175,7 +175,7 @@ def describe(text: str, start: int, stop: int) -> tuple[list[int], str, str]:
 
 @dataclass
 class Graph:
-    """Nodes of many documents: features, edges (i, j, 0 chain or 1 skip), where each node stands."""
+    """Nodes of many documents: features, edges (i, j, 0 chain, 1 repeated or 2 similar), where each node stands."""
 
     x: np.ndarray
     edges: np.ndarray
@@ -199,17 +199,17 @@ def graph(texts: list[str | None]) -> Graph:
                 edges.append((before, i, 0))
                 linked.add(before)
             before = i
-            for key in (f"={same}", f"~{similar}"):
+            for kind, key in ((1, f"={same}"), (2, f"~{similar}")):
                 j = last.get(key, -1) if len(same) >= 4 else -1
                 if j >= 0 and j not in linked:
-                    edges.append((j, i, 1))
+                    edges.append((j, i, kind))
                     linked.add(j)
                 last[key] = i
     return Graph(np.array(x, np.int64).reshape(len(x), 12), np.array(edges, np.int64).reshape(-1, 3), place)
 
 
 #: Before training, chain edges say nothing and skip edges favour equal labels; training is drawn back to this.
-PRIOR = np.stack([np.zeros((len(KINDS) + 1, len(KINDS) + 1)), 1.5 * np.eye(len(KINDS) + 1)])
+PRIOR = np.stack([c * np.eye(len(KINDS) + 1) for c in (0.0, 2.0, 0.5)])
 
 
 @dataclass
@@ -268,6 +268,9 @@ def train(texts: list[str], steps: int = 120, rate: float = 0.3, hide: float = 0
         return model
     spans = {d: base_spans(t) + [(4, *m.span(1 if m.group(1) else 0)) for m in _SECRETS.finditer(t)] for d, t in enumerate(texts)}
     y = np.array([next((k + 1 for k, a, b in spans[d] if a < stop and start < b), 0) for d, start, stop in g.place])
+    for i, j, kind in g.edges.tolist() + g.edges.tolist()[::-1]:  # what repeats a labelled token is labelled
+        if kind == 1:
+            y[i] = y[j] = y[i] or y[j]
     rng = np.random.default_rng(seed)
     w2, p2 = np.full_like(model.w, 1e-2), np.full_like(model.pair, 1e-2)
     truth = np.eye(len(KINDS) + 1)[y]
@@ -286,7 +289,7 @@ def train(texts: list[str], steps: int = 120, rate: float = 0.3, hide: float = 0
             i, j, kind = g.edges.T
             np.add.at(gp, kind, truth[i][:, :, None] * truth[j][:, None, :] - e)
             gp = gp / len(y)
-        gp[1] = (gp[1] + gp[1].T) / 2
+        gp[1:] = (gp[1:] + gp[1:].transpose(0, 2, 1)) / 2
         gp -= 1e-4 * (model.pair - PRIOR)
         w2 += (gw * 1e2) ** 2
         p2 += (gp * 1e2) ** 2
