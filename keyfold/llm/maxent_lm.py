@@ -14,6 +14,7 @@ broadcast parameters and takes row-wise adaptive gradient steps over its documen
 weighted by how often each task used the row, in two shuffled levels.  Parameters have a fixed size; what is shuffled grows with the
 number of tasks, that is with the corpus.
 
+Texts are read twice: to count words, and to write a coded table with two bytes a token, which training and scoring read.
 The `KNOWN` most frequent tokens and their counts go to all tasks; occurrences of the rest, of which none is frequent, are joined
 with the counts by shuffle.  The base score is the add-one unigram's.
 
@@ -24,8 +25,8 @@ get equal scores.  Without training rows all counts are 0.  An empty table gives
 from __future__ import annotations
 
 import math
-import string
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ TAILS = 32
 SUFFIXES = 32
 KNOWN = 1 << 16
 ROUNDS = 3
-BATCH = 4096
+BATCH = 8192
 RATE = 0.15
 #: Tasks that average the changes to a block of rows before one task does.
 MERGERS = 16
@@ -58,11 +59,9 @@ ROWS = _AT[3] + _HEADS * _WITHIN
 BLOCK = 512
 
 
-def words_of(text: Column) -> Column:
-    """The words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; none for null."""
-    t = F.coalesce(text, F.lit(""))
-    low = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
-    return F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
+def words_of(text: str | None) -> list[bytes]:
+    """The words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, as UTF-8; none for null.  These methods of bytes know only ASCII."""
+    return (text or "").encode().lower().split()
 
 
 def suffix_hash(word: bytes) -> int:
@@ -100,14 +99,14 @@ class Coder:
         self.context[:head] = np.arange(1, head + 1)
         self.log_count = np.concatenate([np.log10(counts.counts + 1.0), np.zeros(KNOWN - len(counts.words) + TAILS * SUFFIXES)])
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        return np.fromiter(map(self.codes.__getitem__, (text or "").encode().lower().split()), np.int64)
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
 
 
-def contexts(texts: list[np.ndarray], coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, one before, two before, document) of all tokens of coded texts; the end token is 0."""
-    start, end = np.array([_START, _START]), np.array([0])
-    flat = np.concatenate([x for t in texts for x in (start, coder.context[t], end)])
+def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, one before, two before, document) of all tokens of texts given as contexts; the end token is 0."""
+    start, end = np.array([_START, _START], np.int64), np.array([0], np.int64)
+    flat = np.concatenate([x for t in texts for x in (start, t, end)])
     size = np.array([len(t) + 3 for t in texts])
     first = np.cumsum(size) - size
     real = np.ones(len(flat), bool)
@@ -172,9 +171,10 @@ class Model:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    """In place; logits beyond +-60 are taken as that."""
+    np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -220,46 +220,95 @@ class Learner:
         return self.model.rows - self.start
 
 
-def count_tokens(train: DataFrame, text_col: str) -> tuple[DataFrame, Counts]:
-    """The table (word, c) and what of it, of bounded size, all tasks get."""
-    table = train.select(F.explode(words_of(train[text_col].cast("string"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+def count_tokens(train: DataFrame, text_col: str, held: int = 400_000) -> tuple[DataFrame, Counts]:
+    """The table (word, c) and what of it, of bounded size, all tasks get; a task holds up to about `held` words before it passes them on."""
+    spark = train.sparkSession
+    common.ship(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for t in b.column(0):
+                found.update(words_of(t.as_py()))
+                if len(found) > held:
+                    yield out()
+                    found.clear()
+        yield out()
+
+    table = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     table = common.materialize(table, "words")
     known = table.orderBy(F.desc("c"), "word").limit(KNOWN).collect()  # KNOWN words at most
-    head = train.sparkSession.createDataFrame(pa.table({"word": pa.array([r["word"] for r in known[: HEAD - 1]], pa.string())}))
-    tail = F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % (TAILS * SUFFIXES) % TAILS
+    words = [bytes(r["word"]) for r in known]
+    head = spark.createDataFrame(pa.table({"word": pa.array(words[: HEAD - 1], pa.binary())}))
+    tail = F.crc32(F.substring(F.col("word"), -3, 3)) % (TAILS * SUFFIXES) % TAILS
     stats = table.join(F.broadcast(head), "word", "left_anti").groupBy(tail.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     tails = np.zeros((TAILS, 2))
     for r in stats:
         tails[r["k"]] = r["n"], r["v"]
     total = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
-    counts = Counts([r["word"].encode() for r in known], np.array([r["c"] for r in known], float), ends, total["n"] + ends, total["v"] + (ends > 0), tails)
-    return table, counts
+    return table, Counts(words, np.array([r["c"] for r in known], float), ends, total["n"] + ends, total["v"] + (ends > 0), tails)
 
 
-def fit(train: DataFrame, counts: Counts, text_col: str, rounds: int = ROUNDS) -> Model:
-    """The model after all rounds over train."""
-    spark = train.sparkSession
-    model = Model(counts)
+def code(docs: DataFrame, counts: Counts, id_col: str, text_col: str, learn: Column) -> DataFrame:
+    """The coded table: id, row, learn, tokens, ids (two bytes a word), and over the known tokens their number and sums of log10(count + 1), and the other words."""
+    spark = docs.sparkSession
     known = spark.sparkContext.broadcast(counts)
+    rows = docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(learn, F.lit(False)).alias("learn"), docs[text_col].cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(known.value)
+        sure_end, log_end = int(known.value.ends > 0), math.log10(known.value.ends + 1)
+        for b in batches:
+            n, ids, sure, log, tail, rare = [], [], [], [], [], []
+            for t in b.column(3):
+                words = words_of(t.as_py())
+                codes = coder(words)
+                context, logs = coder.context[codes], coder.log_count[codes]
+                other = np.flatnonzero(codes >= KNOWN).tolist()
+                n.append(len(words) + 1)
+                ids.append(context.astype(np.uint16).tobytes())
+                sure.append(len(words) - len(other) + sure_end)
+                log.append(float(logs.sum()) + log_end)
+                tail.append(float(logs[context >= HEAD].sum()))
+                rare.append([words[i] for i in other])
+            cols = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sure, pa.int64()), pa.array(log, pa.float64()), pa.array(tail, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["id", "row", "learn", "n", "ids", "sure", "log", "tail", "rare"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return common.materialize(rows.mapInArrow(run, f"id {kind}, row long, learn boolean, n long, ids binary, sure long, log double, tail double, rare array<binary>"), "coded")
+
+
+def _texts(ids: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t.as_buffer(), np.uint16).astype(np.int64) for t in ids]
+
+
+def fit(coded: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
+    """The model after all rounds over the rows to learn from."""
+    spark = coded.sparkSession
+    model = Model(counts)
     for k in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
         def local(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            coder, learner = Coder(known.value), Learner(now.value)
+            learner = Learner(now.value)
             part = TaskContext.get().partitionId()
             held, n = [], 0
             for b in batches:
-                for t in b.column(0):
-                    held.append(coder(t.as_py()))
-                    n += len(held[-1]) + 1
+                for t in _texts(b.column(0)):
+                    held.append(t)
+                    n += len(t) + 1
                     if n >= 16 * BATCH:
-                        _walk(held, coder, learner)
+                        _walk(held, learner)
                         held, n = [], 0
             if held:
-                _walk(held, coder, learner)
+                _walk(held, learner)
             change, used = learner.change().astype(np.float16), learner.used
             blocks = [a for a in range(0, ROWS, BLOCK) if used[a : a + BLOCK].any()]
             yield pa.RecordBatch.from_arrays(
@@ -281,7 +330,7 @@ def fit(train: DataFrame, counts: Counts, text_col: str, rounds: int = ROUNDS) -
             )
 
         kind = "part long, block int, change binary, used binary"
-        docs = train.where(F.pmod(F.xxhash64(text_col), F.lit(rounds)) == k).select(F.col(text_col).cast("string"))
+        docs = coded.where(F.col("learn") & (F.pmod(F.xxhash64("row"), F.lit(rounds)) == k)).select("ids")
         changes = docs.mapInArrow(local, kind).withColumn("part", F.col("part") % MERGERS)
         merged = changes.repartition("part", "block").mapInArrow(merge, kind).repartition("block").mapInArrow(merge, kind)
         rows = model.rows.copy()
@@ -292,59 +341,45 @@ def fit(train: DataFrame, counts: Counts, text_col: str, rounds: int = ROUNDS) -
     return model
 
 
-def _walk(texts: list[np.ndarray], coder: Coder, learner: Learner) -> None:
-    token, one, two, _ = contexts(texts, coder)
+def _walk(texts: list[np.ndarray], learner: Learner) -> None:
+    token, one, two, _ = contexts(texts)
     for a in range(0, len(token), BATCH):
         learner.step(token[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH])
 
 
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs; train: the rows to learn from."""
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row; learn: which rows to learn from."""
     spark = docs.sparkSession
-    common.ship(spark)
-    table, counts = count_tokens(train, text_col)
-    model = spark.sparkContext.broadcast(fit(train, counts, text_col, rounds))
-    known = spark.sparkContext.broadcast(counts)
-    text, i = docs[text_col].cast("string"), docs[id_col]
-    rows = docs.select(i.alias("id"), F.xxhash64(F.lit(1), i, text).alias("k1"), F.xxhash64(text, F.lit(2), i).alias("k2"), text.alias("text"))
+    table, counts = count_tokens(docs.where(learn), text_col)
+    coded = code(docs, counts, id_col, text_col, learn)
+    model = spark.sparkContext.broadcast(fit(coded, counts, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, m = known.value, model.value
-        coder = Coder(c)
-        seen_end, log_end = int(c.ends > 0), math.log10(c.ends + 1)
         for b in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
+            parts: list[np.ndarray] = []
             held: list[np.ndarray] = []
 
             def flush() -> None:
-                token, one, two, own = contexts(held, coder)
-                n = np.bincount(own)
-                p = np.bincount(own, m.log10(token, one, two))
-                log = np.array([coder.log_count[t].sum() for t in held])
-                tail = np.array([coder.log_count[t[coder.context[t] >= HEAD]].sum() for t in held])
-                sure = np.array([np.count_nonzero(t < KNOWN) for t in held])
-                parts.append((n, sure + seen_end, log + log_end, p + tail))  # noqa: B023
+                token, one, two, own = contexts(held)  # noqa: B023
+                parts.append(np.bincount(own, model.value.log10(token, one, two)))  # noqa: B023
                 held.clear()  # noqa: B023
 
             size = 0
-            for t in b.column(3):
-                held.append(coder(t.as_py()))
-                size += len(held[-1])
+            for t in _texts(b.column(5)):
+                held.append(t)
+                size += len(t)
                 if size >= 16 * BATCH:
                     flush()
                     size = 0
             if held:
                 flush()
-            n, sure, log, p = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0)] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n.astype(np.int64)), pa.array(sure.astype(np.int64)), pa.array(log.astype(float)), pa.array(p.astype(float))], ["id", "k1", "k2", "n", "sure", "log", "p"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, n long, sure long, log double, p double")
-    frequent = spark.createDataFrame(pa.table({"word": pa.array([w.decode() for w in counts.words], pa.string())}))  # KNOWN words at most
-    rare = rows.withColumn("row", F.monotonically_increasing_id()).select("k1", "k2", "row", F.explode(words_of(F.col("text"))).alias("word"))
-    rare = rare.join(F.broadcast(frequent), "word", "left_anti")
-    rare = rare.join(table, "word").groupBy("k1", "k2", "row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("rest"))
-    rare = rare.groupBy("k1", "k2").agg(F.max("more").alias("more"), F.max("rest").alias("rest"))  # repeated rows: the same sums
-    out = found.join(rare, ["k1", "k2"], "left").na.fill(0, ["more", "rest"])
-    base = F.col("log") + F.col("rest") - F.col("n") * math.log10(counts.tokens + counts.distinct + 1)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("sure") + F.col("more")).alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("p") + F.col("rest")).alias("score"))
+            p = np.concatenate(parts) if parts else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(p, pa.float64())], ["id", "row", "n", "sure", "log", "p"])
+
+    kind = coded.schema["id"].dataType.simpleString()
+    found = coded.select("id", "row", "n", "sure", "log", "ids", "tail")
+    found = found.select("id", "row", "n", "sure", (F.struct("log", "tail")).alias("log"), "ids").mapInArrow(run, f"id {kind}, row long, n long, sure long, log struct<log:double,tail:double>, p double")
+    rare = coded.select("row", F.explode("rare").alias("word")).join(table, "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("rest"))
+    out = found.join(rare, "row", "left").na.fill(0, ["more", "rest"])
+    base = F.col("log.log") + F.col("rest") - F.col("n") * math.log10(counts.tokens + counts.distinct + 1)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("sure") + F.col("more")).alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("p") + F.col("log.tail") + F.col("rest")).alias("score"))

@@ -39,7 +39,7 @@ def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    found = maxent_lm.score(docs, docs.where(common.remainder("doc_id", 7) != 2))
+    found = maxent_lm.score(docs, common.remainder("doc_id", 7) != 2)
     held_out = (common.remainder("doc_id", 7) == 2).alias("held_out")
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
