@@ -15,7 +15,7 @@ weighted by how often each task used the row, in two shuffled levels.  Parameter
 number of tasks, that is with the corpus.
 
 Texts are read twice: to count words, and to write a coded table with two bytes a token, which training and scoring read.
-The `KNOWN` most frequent tokens and their counts go to all tasks; occurrences of the rest, of which none is frequent, are joined
+The most frequent tokens, `KNOWN` at most, and their counts go to all tasks; occurrences of the rest, of which none is frequent, are joined
 with the counts by shuffle.  The base score is the add-one unigram's.
 
 Null and empty texts are one end token.  Rows with a null id are scored, but not learnt from where the caller's condition on the id is null.  Repeated rows
@@ -144,15 +144,15 @@ class Model:
         self.rows = np.zeros((ROWS, WIDTH), np.float32)
 
     def classes(self, f: tuple[np.ndarray, ...]) -> np.ndarray:
-        z = self.rows[f[0]]
-        z += self.rows[f[1]]
-        z += self.rows[f[2]]
+        z = _take(self.rows, f[0])
+        z += _take(self.rows, f[1])
+        z += _take(self.rows, f[2])
         z += self.class_bias
         return _softmax(z)
 
     def words(self, cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        z = self.rows[rows]
-        z += self.word_bias[cls]
+        z = _take(self.rows, rows)
+        z += _take(self.word_bias, cls)
         return _softmax(z)
 
     def log10(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -170,6 +170,10 @@ class Model:
         return out
 
 
+def _take(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.take(table, rows, axis=0, mode="clip")  # all rows are in range; clipping is the fast mode
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """In place; logits beyond +-60 are taken as that."""
     np.clip(z, -60, 60, out=z)
@@ -206,11 +210,11 @@ class Learner:
     def _apply(self, rows: np.ndarray, g: np.ndarray) -> None:
         if not len(rows):
             return
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # ROWS < 2^16: a radix sort
         sorted_rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
         which = sorted_rows[first]
-        total = np.add.reduceat(g[order], first, axis=0)
+        total = np.add.reduceat(_take(g, order).view(np.complex64), first, axis=0).view(np.float32)  # two columns at a time
         self.used[which] += np.diff(np.append(first, len(rows)))
         self.square[which] += np.einsum("ij,ij->i", total, total)
         total *= (RATE / np.sqrt(self.square[which] / 4 + 1.0))[:, None]
@@ -241,7 +245,13 @@ def count_tokens(train: DataFrame, text_col: str, held: int = 400_000) -> tuple[
 
     table = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     table = common.materialize(table, "words")
-    known = table.orderBy(F.desc("c"), "word").limit(KNOWN).collect()  # KNOWN words at most
+    bucket = F.floor(F.log2("c") * 16)
+    least, n = 1 << 20, 0
+    for r in table.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect():  # 16 buckets for each power of two
+        if n + r["n"] > KNOWN:
+            break
+        least, n = r["b"], n + r["n"]
+    known = sorted(table.where(bucket >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))  # KNOWN words at most
     words = [bytes(r["word"]) for r in known]
     head = spark.createDataFrame(pa.table({"word": pa.array(words[: HEAD - 1], pa.binary())}))
     tail = F.crc32(F.substring(F.col("word"), -3, 3)) % (TAILS * SUFFIXES) % TAILS
