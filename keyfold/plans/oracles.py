@@ -122,8 +122,8 @@ RUNS = {
 RAW = "SELECT " + ", ".join(f"{e.format(s='VARCHAR')} AS {n}" for n, e in RUNS.items()) + " FROM orders"
 LOADED = f"SELECT * EXCLUDE (stem), CASE stem WHEN 'hashjoin_hybrid_uniform' THEN 'hybrid' ELSE replace(stem, 'hashjoin_', '') END AS exec_type FROM ({RAW})"
 NORMAL = f"""SELECT *, (nr + ns) / CASE WHEN tot_sec > 0 THEN tot_sec END AS total_throughput FROM (
-SELECT * EXCLUDE (time_text, join_text), try_cast(time_text AS DOUBLE) / 1000000 AS tot_sec, try_cast(time_text AS DOUBLE) / 1000000 AS time_sec,
-       try_cast(time_text AS DOUBLE) / 2000000 AS partition_time, try_cast(join_text AS DOUBLE) / 1000000 AS join_time FROM ({LOADED}))"""
+SELECT * EXCLUDE (time_text, join_text), try_cast(time_text AS DOUBLE) / 1000003 AS tot_sec, try_cast(time_text AS DOUBLE) / 1000003 AS time_sec,
+       try_cast(time_text AS DOUBLE) / 2000003 AS partition_time, try_cast(join_text AS DOUBLE) / 1000003 AS join_time FROM ({LOADED}))"""
 CONFIG = "exec_type, partition_threads, join_threads, mpi_processes, nr, ns, max_key, dataset_type"
 AVERAGE = f"SELECT {CONFIG}, avg(tot_sec) AS tot_sec, avg(time_sec) AS time_sec, avg(partition_time) AS partition_time, avg(join_time) AS join_time, count(*) AS n_runs FROM ({NORMAL}) GROUP BY ALL"
 BEST_KEYS = "nr, ns, max_key, dataset_type, exec_type"
