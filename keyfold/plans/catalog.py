@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyfold.functions import u64
+from keyfold.functions.shared import shared_dir
 from keyfold.operators import analytics, checker, join, partition
 from keyfold.plans import grid, oracles
 from keyfold.plans.oracles import BLOCK, MAX_KEY, RANKS, SEED, THREADS, N, P
@@ -358,8 +359,7 @@ def bench_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs appended to CSV files in the shared folder in two parts, and loaded again."""
     import uuid
 
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{shared}/keyfold-csv-{uuid.uuid4().hex}/hashjoin_omp"
+    path = f"{shared_dir(spark)}/keyfold-csv-{uuid.uuid4().hex}/hashjoin_omp"
     rows = _loaded(spark, sf_dir)
     for kind in (F.col("exec_type") == "omp", F.col("exec_type") != "omp"):
         results.append(rows.where(kind), path)
