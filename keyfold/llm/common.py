@@ -3,28 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_SHARED = "/tmp/checkpoints"
-_shipped: set[str] = set()
-_written: list[tuple[SparkSession, str]] = []
-
+from keyfold.functions import shared
+from keyfold.functions.shipping import ship  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), one under /tmp."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_LOCAL_SHARED}").rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/keyfold-{what}-{uuid.uuid4().hex}"
+    path = f"{shared.shared_dir(df.sparkSession)}/keyfold-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove_all)
@@ -37,44 +30,35 @@ def release(df: DataFrame) -> None:
     for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
         known = [w for w in _written if path.endswith(w[1].rpartition("/")[2])]
         for w in known:
-            _delete(*w)
+            shared.delete(*w)
             _written.remove(w)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _remove_all() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            shared.delete(spark, path)
         except Exception:  # the session has ended: the folder's owner cleans up
             return
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp()) / f"keyfold_{os.getpid()}.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(at))
-    _shipped.add(app)
-
-
 #: Rows that may be broadcast: a few tens of megabytes of keys.
 BROADCAST_ROWS = 1 << 18
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most BROADCAST_ROWS rows; beyond, joins with it shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows; beyond, joins with it shuffle, and adaptive execution splits hot keys."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def lowest(df: DataFrame, h: Column, k: int, rows: int) -> DataFrame:
+    """The k rows of df with the lowest hashes h, of a table of so many rows.
+
+    A cut at about 4 k rows of the table goes first, so that tasks don't each send k rows to one; fewer than k come only where few of the table's rows are in df.
+    """
+    place = F.pmod(h, F.lit(1 << 30))
+    cut = df.where(place < (4 * k << 30) // rows) if rows > 8 * k else df
+    return cut.withColumn("__place", place).withColumn("__h", h).orderBy("__place", "__h").limit(k).drop("__place", "__h")
 
 
 def tokenizer_json(path: str | None = None) -> str:

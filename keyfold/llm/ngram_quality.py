@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.llm import common
+
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
 THRESHOLD = -0.1
@@ -100,7 +102,8 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buc
 
     Corpus counts are scaled to the target's size and both get PSEUDO counts a bucket, so that buckets too rare to tell weigh nothing.
     """
-    sample = trusted.where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(target_rows)
+    known = trusted.where("id is not null").distinct()
+    sample = common.lowest(known, F.xxhash64("id"), target_rows, known.count())
     rows = docs.select(docs[id_col].alias("id"), words_of(docs[text_col].cast("string")).alias("words"))
     rows = rows.join(F.broadcast(sample.withColumn("trusted", F.lit(1))), "id", "left")  # at most target_rows ids
     counts = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(grams(F.col("words"), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
