@@ -2,7 +2,8 @@
 
 A unit is normalised (lower case, runs of white space to one space) and digested to 128 bits.  Digests are grouped
 over the whole corpus with map-side combine; the earliest occurrence, by (id, row, offset), stays, all others go, each
-with its offsets in the original text.  Sentences make a passage visible that stands within a longer line.  Units of fewer than
+with its offsets in the original text.  Sentences, and pieces of sentences over
+LONG words, make a passage visible that stands within a longer line.  Units of fewer than
 `min_words` words repeat by chance and are never removed.
 
 Null and empty texts have no units.  Null ids rank last.  Repeated rows are occurrences like any other, in the order
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +25,48 @@ from pyspark.sql import functions as F
 from keyfold.llm import common
 
 MIN_WORDS = 8
+LONG = 32
 _LINE = re.compile(r"[^\n]+")
+_WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|\Z)", re.S)
 
 
+def pieces(sentence: str, min_words: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the sentence, or of its pieces if it has over LONG words.
+
+    A piece begins where a word's hash is below those of the min_words - 1 words on either side.  That depends on nothing further away, so a passage
+    is cut alike wherever it stands, and no inner piece is shorter than min_words.
+    """
+    words = list(_WORD.finditer(sentence))
+    n, reach = len(words), min_words - 1
+    if n <= LONG:
+        yield 0, len(sentence)
+        return
+    h = np.fromiter((crc32(w.group().lower().encode()) for w in words), np.int64, n)
+    lowest = np.ones(n, bool)
+    lowest[:reach] = lowest[n - reach :] = False
+    for k in range(1, reach + 1):
+        lowest[k:] &= h[k:] < h[:-k]
+        lowest[:-k] &= h[:-k] <= h[k:]
+    first = 0
+    for i in [*np.flatnonzero(lowest).tolist(), n]:
+        yield words[first].start(), words[i - 1].end() if i < n else len(sentence)
+        first = i
+
+
 def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised) of each sentence of at least min_words words, and of each line whose own sentences are all shorter."""
+    """(start, end, normalised) of each sentence (or piece of one) of at least min_words words, and of each line whose own sentences are all shorter."""
     for line in _LINE.finditer(text or ""):
         at, whole = line.start(), line.group()
         found = False
         for s in _SENTENCE.finditer(whole):
-            words = s.group().lower().split()
-            if len(words) >= min_words:
-                found = True
-                yield at + s.start(), at + s.end(), " ".join(words)
+            if len(s.group()) < 2 * min_words - 1:
+                continue
+            for a, b in pieces(s.group(), min_words):
+                words = s.group()[a:b].lower().split()
+                if len(words) >= min_words:
+                    found = True
+                    yield at + s.start() + a, at + s.start() + b, " ".join(words)
         if not found:
             words = whole.lower().split()
             if len(words) >= min_words:
@@ -50,7 +81,7 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, row:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for b in batches:
+        for b in (x.slice(a, 1000) for x in batches for a in range(0, x.num_rows, 1000)):
             out = [[], [], [], [], [], []]
             for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 for start, stop, norm in units(t.as_py(), min_words):
@@ -68,7 +99,8 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     u = common.materialize(unit_table(docs, id_col, text_col, min_words, F.monotonically_increasing_id() if row is None else row), "units")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     first = u.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = u.join(first, ["h1", "h2"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    first = common.materialize(first, "first")  # a table of its own: the join's shuffle of units can then be split where a digest is hot
+    later = u.join(first.hint("merge"), ["h1", "h2"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     return later.select("id", "row", "start", "stop", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
 

@@ -23,6 +23,21 @@ def test_units():
     assert got[0][2] == LONG and list(line_dedup.units(None)) == list(line_dedup.units("")) == []
 
 
+def test_a_passage_without_any_punctuation_is_found_within_lines(spark):
+    import random
+
+    from tests.llm.helpers import WORDS
+
+    rng = random.Random(7)
+    passage = " ".join(rng.choice(WORDS) for _ in range(60))
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(20 + i)) + " " + passage + " " + " ".join(rng.choice(WORDS) for _ in range(25))) for i in range(12)]
+    rows += [(100 + i, " ".join(rng.choice(WORDS) for _ in range(90))) for i in range(30)]
+    gone = line_dedup.removed_units(table(spark, rows)).collect()
+    assert {r["id"] for r in gone} == set(range(1, 12))
+    text = dict(rows)
+    assert all(text[r["id"]][r["start"] : r["stop"]] in passage for r in gone)
+
+
 def test_matches_a_plain_scan(spark):
     rows = awkward() + [(50, f"{LONG}\n{OTHER}"), (51, f"mid words before it {OTHER.upper()}\n{LONG.upper()}  {LONG}"), (None, LONG)]
     got = line_dedup.removed_units(table(spark, rows).coalesce(1)).collect()
