@@ -192,13 +192,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     common.ship(docs.sparkSession)
     model = seed_model()
     known = labels.select(F.col("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").dropDuplicates(["id"])
-    taken = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(sample) for t in (0, 1)]
+    of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    taken = [common.lowest(known.where(F.col("toxic") == t), F.xxhash64("id"), sample, of.get(t, 0)) for t in (0, 1)]
     some = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(taken[0].union(taken[1])), "id")
     some = common.materialize(some.select("id", "text", "toxic"), "toxic-sample")
     n = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return model
-    prior = known.agg(F.avg("toxic")).first()[0]
+    prior = of[1] / (of[0] + of[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, times = (Counter(), Counter()), (Counter(), Counter())
@@ -223,8 +224,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             f = [model.features(t.as_py())[:2] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.int64()), b.column(2)], ["w", "n", "y"])
 
-    rows = some.mapInArrow(weigh, "w double, n long, y int").orderBy("w", "n", "y").collect()
-    w, words, y = (np.array(c, float) for c in zip(*rows, strict=True))
+    rows = some.mapInArrow(weigh, "w double, n long, y int").collect()
+    w, words, y = (np.array(c, float) for c in zip(*sorted(map(tuple, rows)), strict=True))
     model.coefficients = fit(np.column_stack([np.log1p(w), np.log1p(1000 * w / np.maximum(words, 1))]), y, prior)
     return model
 
