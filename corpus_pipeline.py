@@ -53,5 +53,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        kept = common.materialize(stage(spark, docs, sf_dir), name)
+        common.release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,16 +22,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     if not _written:
         atexit.register(_remove_all)
     _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._keyfold_path = path
+    return out
 
 
 def release(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df; only once nothing reads it any more."""
-    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        known = [w for w in _written if path.endswith(w[1].rpartition("/")[2])]
-        for w in known:
-            shared.delete(*w)
-            _written.remove(w)
+    """Delete what materialize() wrote and returned as df, if it did; only once nothing reads it any more."""
+    path = getattr(df, "_keyfold_path", None) if "_keyfold_path" in vars(df) else None
+    for w in [w for w in _written if w[1] == path]:
+        shared.delete(*w)
+        _written.remove(w)
 
 
 def _remove_all() -> None:
