@@ -143,7 +143,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     slots, _ = minimum_slack(total, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = made.join(ranks, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
+    ranked = made.join(common.small(ranks), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
     table = docs.sparkSession.sparkContext.broadcast(slots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
