@@ -6,6 +6,10 @@ with its offsets in the original text.  Sentences, and pieces of sentences over
 LONG words, make a passage visible that stands within a longer line.  Units of fewer than
 `min_words` words repeat by chance and are never removed.
 
+Passages are exact, wherever they stand: a word goes if any PASSAGE words in a row around it stood earlier.  The lowest hash of
+the runs of ANCHOR words within such a window depends on the window alone, so only windows whose lowest hash occurs
+twice in the corpus are digested and grouped like units.  Windows that go are joined to maximal runs.
+
 Null and empty texts have no units.  Null ids rank last.  Repeated rows are occurrences like any other, in the order
 of the table.  An empty table gives an empty result; other columns of the input are ignored by removed_units() and
 kept by clean(), whose own columns replace any of the same name.
@@ -26,6 +30,12 @@ from keyfold.llm import common
 
 MIN_WORDS = 8
 LONG = 32
+#: So many equal words in a row are found wherever they stand.
+PASSAGE = 50
+ANCHOR = 25
+#: Words that are hashed together.
+BLOCK = 1 << 16
+UNIT, WINDOW, MARK = 0, 2, 3
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|\Z)", re.S)
@@ -44,7 +54,7 @@ def pieces(sentence: str, min_words: int) -> Iterator[tuple[int, int]]:
         return
     h = np.fromiter((crc32(w.group().lower().encode()) for w in words), np.int64, n)
     lowest = np.ones(n, bool)
-    lowest[:reach] = lowest[n - reach :] = False
+    lowest[:min_words] = lowest[n - reach :] = False
     for k in range(1, reach + 1):
         lowest[k:] &= h[k:] < h[:-k]
         lowest[:-k] &= h[:-k] <= h[k:]
@@ -56,58 +66,220 @@ def pieces(sentence: str, min_words: int) -> Iterator[tuple[int, int]]:
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised) of each sentence (or piece of one) of at least min_words words, and of each line whose own sentences are all shorter."""
+    for start, stop, norm, _, _ in placed_units(text, min_words):
+        yield start, stop, norm
+
+
+def placed_units(text: str | None, min_words: int) -> Iterator[tuple[int, int, str, int, int]]:
+    """units() with the places of their first word and of the word after them."""
+    place = 0
     for line in _LINE.finditer(text or ""):
         at, whole = line.start(), line.group()
-        found = False
+        found, first = False, place
         for s in _SENTENCE.finditer(whole):
             if len(s.group()) < 2 * min_words - 1:
+                place += len(s.group().split())
                 continue
             for a, b in pieces(s.group(), min_words):
                 words = s.group()[a:b].lower().split()
                 if len(words) >= min_words:
                     found = True
-                    yield at + s.start() + a, at + s.start() + b, " ".join(words)
+                    yield at + s.start() + a, at + s.start() + b, " ".join(words), place, place + len(words)
+                place += len(words)
         if not found:
             words = whole.lower().split()
             if len(words) >= min_words:
-                yield at + len(whole) - len(whole.lstrip()), at + len(whole.rstrip()), " ".join(words)
+                yield at + len(whole) - len(whole.lstrip()), at + len(whole.rstrip()), " ".join(words), first, place
 
 
-def unit_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, row: Column) -> DataFrame:
-    """(id, row, start, stop, h1, h2) of every unit; row tells repeated ids apart."""
-    common.ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), row.alias("row"), docs[text_col].cast("string").alias("text"))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
+    """A hash of every run of so many words, modulo 2^64; base is odd."""
+    n = len(h)
+    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)))
+    return _mixed((total[size:] - total[:-size]) * down[: n - size + 1])
+
+
+_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+def _marks(h: np.ndarray) -> np.ndarray:
+    """The mark of every window of PASSAGE words: the lowest hash of a run of ANCHOR words in it."""
+    m, width, span = _rolling(h, ANCHOR, _BASES[0]), PASSAGE - ANCHOR + 1, 1
+    while 2 * span <= width:
+        m, span = np.minimum(m[:-span], m[span:]), 2 * span
+    return np.minimum(m[: len(m) - (width - span)], m[width - span :])
+
+
+def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word hashes, index of their text, place in it) of texts with a window, about BLOCK words at a time; parts of a long text overlap so that no window is lost."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    held, size = [], 0
+    for d, text in enumerate(texts):
+        words = (text or "").lower().split()
+        for a in range(0, len(words) - PASSAGE + 1, BLOCK):
+            h = np.fromiter(map(digest, words[a : a + BLOCK + PASSAGE - 1]), np.uint64)
+            held.append((h, np.full(len(h), d), np.arange(a, a + len(h))))
+            size += len(h)
+            if size >= BLOCK:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _inside(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the window that begins at each place ends in the same text."""
+    last = PASSAGE - 1
+    return (text[:-last] == text[last:]) & (place[last:] - place[:-last] == last)
+
+
+def marks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of the text, mark), one for each place that a mark stands at."""
+    for h, text, place in _blocks(texts):
+        m, ok = _marks(h), _inside(text, place)
+        new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | ~ok[:-1])) & ok)
+        last = np.flatnonzero(ok & np.concatenate(((m[1:] != m[:-1]) | ~ok[1:], [True])))
+        new = np.concatenate((new, new[last - new > PASSAGE - ANCHOR]))  # one place has so many windows at most: beyond, the text goes round
+        yield text[new], m[new].view(np.int64)
+
+
+def windows(texts: list[str | None], wanted: list[list[int]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(index of the text, place, two hashes) of the windows with a wanted mark, or one that is wanted for a text beside."""
+    wanted = [np.array(x, np.int64).view(np.uint64) for x in wanted]
+    for h, text, place in _blocks(texts):
+        want = np.unique(np.concatenate([wanted[d] for d in np.unique(text)]))
+        at = np.flatnonzero(_inside(text, place) & np.isin(_marks(h), want))
+        yield text[at], place[at], _rolling(h, PASSAGE, _BASES[0])[at].view(np.int64), _rolling(_mixed(h), PASSAGE, _BASES[1])[at].view(np.int64)
+
+
+_TABLE = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("place", pa.int32()), ("after", pa.int32()), ("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64())])
+_TABLE_SQL = "id long, row long, start int, stop int, place int, after int, kind byte, h1 long, h2 long"
+
+
+def _records(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _TABLE, strict=True)], schema=_TABLE)
+
+
+def unit_table(rows: DataFrame, min_words: int) -> DataFrame:
+    """(id, row, start, stop, place, after, kind, h1, h2) of every unit, and a row of kind MARK with h1 for every mark; rows: (id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for b in (x.slice(a, 1000) for x in batches for a in range(0, x.num_rows, 1000)):
-            out = [[], [], [], [], [], []]
-            for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                for start, stop, norm in units(t.as_py(), min_words):
+            out = [[] for _ in _TABLE]
+            texts = b.column(2).to_pylist()
+            for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
+                for start, stop, norm, place, after in placed_units(t, min_words):
                     h = xxh3_128_digest(norm.encode())
-                    for x, v in zip(out, (i, r, start, stop, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)), strict=True):
+                    for x, v in zip(out, (i, r, start, stop, place, after, UNIT, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)), strict=True):
                         x.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["id", "row", "start", "stop", "h1", "h2"])
+            yield _records(out)
+            ids = b.column(1).to_numpy(zero_copy_only=False)
+            for d, m in marks(texts):
+                none = np.zeros(len(d), np.int8)
+                yield _records([pa.nulls(len(d), pa.int64()), ids[d], none, none, none, none, none + MARK, m, none])
 
-    return rows.mapInArrow(run, "id long, row long, start int, stop int, h1 long, h2 long")
+    return rows.mapInArrow(run, _TABLE_SQL)
+
+
+def window_table(rows: DataFrame, u: DataFrame) -> DataFrame:
+    """The columns of u, from unit_table(), of every window whose mark stands at two places at least."""
+    held = u.where(F.col("kind") == MARK).select("row", F.col("h1").alias("mark"))
+    again = common.materialize(held.groupBy("mark").count().where("count > 1").select("mark"), "marks")
+    wanted = held.join(again.hint("merge"), "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
+    found = rows.join(wanted.hint("merge"), "row").select("id", "row", "text", "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(a, 1000) for x in batches for a in range(0, x.num_rows, 1000)):
+            texts = b.column(2).to_pylist()
+            spans: tuple[int, np.ndarray] = (-1, np.zeros(0))
+            for d, place, h1, h2 in windows(texts, b.column(3).to_pylist()):
+                start, stop = np.zeros((2, len(d)), np.int32)
+                for k in np.unique(d):
+                    if spans[0] != k:
+                        spans = k, np.array([m.span() for m in _WORD.finditer(texts[k])], np.int32)
+                    mine = d == k
+                    start[mine], stop[mine] = spans[1][place[mine], 0], spans[1][place[mine] + PASSAGE - 1, 1]
+                at = pa.array(d)
+                yield _records([b.column(0).take(at), b.column(1).take(at), start, stop, place.astype(np.int32), (place + PASSAGE).astype(np.int32), np.full(len(d), WINDOW, np.int8), h1, h2])
 
+    return found.mapInArrow(run, _TABLE_SQL)
 
-def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, row: Column | None = None) -> DataFrame:
-    """(id, row, start, stop, first_id, first_start) of every unit that repeats an earlier one; code-point offsets, end exclusive."""
-    u = common.materialize(unit_table(docs, id_col, text_col, min_words, F.monotonically_increasing_id() if row is None else row), "units")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
+
+def _joined(start: np.ndarray, stop: np.ndarray, place: np.ndarray, after: np.ndarray, kind: np.ndarray, disjoint: bool) -> list[tuple[int, int, int]]:
+    """(start, stop, index) of a row's units that go and of its runs of windows that take more words than these; disjoint: merged."""
+    units_, w = np.flatnonzero(kind != WINDOW), np.flatnonzero(kind == WINDOW)
+    out = list(zip(start[units_].tolist(), stop[units_].tolist(), units_.tolist(), strict=True))
+    if len(w):
+        covered = np.zeros(after.max(), bool)
+        for a, b in zip(place[units_].tolist(), after[units_].tolist(), strict=True):
+            covered[a:b] = True
+        cut = np.flatnonzero(place[w[1:]] > after[w[:-1]])
+        for a, b in zip(w[np.concatenate(([0], cut + 1))].tolist(), w[np.append(cut, len(w) - 1)].tolist(), strict=True):
+            if not covered[place[a] : after[b]].all():
+                out.append((int(start[a]), int(stop[b]), a))
+        out.sort()
+    if not disjoint:
+        return out
+    merged: list[tuple[int, int, int]] = []
+    for x in out:
+        if merged and x[0] < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], x[1]), merged[-1][2])
+        else:
+            merged.append(x)
+    return merged
+
+
+def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, row: Column | None = None, disjoint: bool = False) -> DataFrame:
+    """(id, row, start, stop, first_id, first_start) of every unit that repeats an earlier one; code-point offsets, end exclusive.
+
+    row tells repeated ids apart; given, docs is a table that can be read again.  A passage has a row of its own, over the
+    whole run, unless its units' rows have all its words; such rows may overlap, with disjoint they are merged.
+    """
+    common.ship(docs.sparkSession)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), (F.monotonically_increasing_id() if row is None else row).alias("row"), docs[text_col].cast("string").alias("text"))
+    if row is None:
+        rows = common.materialize(rows, "docs")
+    marked = common.materialize(unit_table(rows, min_words), "units")
+    u = marked.where(F.col("kind") != MARK).unionByName(common.materialize(window_table(rows, marked), "windows"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start", "place")
     first = u.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = common.materialize(first, "first")  # a table of its own: the join's shuffle of units can then be split where a digest is hot
-    later = u.join(first.hint("merge"), ["h1", "h2"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
-    return later.select("id", "row", "start", "stop", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    again = (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
+    apart = (F.col("kind") != WINDOW) | (F.col("row") != F.col("first.row")) | (F.col("place") >= F.col("first.place") + PASSAGE)
+    later = u.join(first.hint("merge"), ["h1", "h2"]).where(again & apart)
+    x = F.struct("start", "stop", "place", "after", "kind", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    later = later.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(x)).alias("later"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            x = lists.flatten()
+            fields = [x.field(k).to_numpy() for k in ("start", "stop", "place", "after", "kind")]
+            found = [(r, g[0], g[1], a + g[2]) for r, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) for g in _joined(*(f[a:z] for f in fields), disjoint)]
+            r, start, stop, at = np.array(found, np.int64).reshape(-1, 4).T
+            columns = [b.column(1).take(pa.array(r)), b.column(0).take(pa.array(r)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), x.field("first_id").take(pa.array(at)), x.field("first_start").take(pa.array(at))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "start", "stop", "first_id", "first_start"])
+
+    return later.mapInArrow(run, "id long, row long, start int, stop int, first_id long, first_start int")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text less its repeated units, and `kept`: the (start, stop) offsets of what is left in the original."""
     held = common.materialize(docs.drop("kept").withColumn("__row", F.monotonically_increasing_id()), "docs")
-    spans = removed_units(held, id_col, text_col, min_words, held["__row"])
+    spans = removed_units(held, id_col, text_col, min_words, held["__row"], disjoint=True)
     spans = spans.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__gone"))
     n = F.coalesce(F.length(text_col), F.lit(0))
     gone = F.coalesce("__gone", F.array().cast("array<struct<start:int,stop:int>>"))

@@ -51,3 +51,43 @@ def test_clean_keeps_offsets(spark):
     assert got[1]["text"] == rows[0][1] and got[2]["text"] == "\nNew é text" and got[3]["text"] is None and got[4]["text"] == ""
     assert all("".join(t[s["start"] : s["stop"]] for s in got[i]["kept"]) == got[i]["text"] for i, t in rows if t is not None)
     assert got[2]["row"] == "x" and line_dedup.clean(table(spark, [])).count() == 0
+
+
+def gone_words(gone, text):
+    """The places of the words that the rows take."""
+    import re
+
+    return {i for i, m in enumerate(re.finditer(r"\S+", text)) if any(a <= m.start() and m.end() <= b for a, b in gone)}
+
+
+def test_every_passage_of_fifty_words_is_found_whole(spark):
+    import random
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows, want = [], {}
+    for k in range(150):
+        n = 49 if k % 10 == 0 else rng.choice([50, 51, 55, 60, 100])
+        passage = [rng.choice(words) for _ in range(n)]
+        for copy in range(2):
+            head = [rng.choice(words) for _ in range(rng.randrange(1, 90))]
+            tail = [rng.choice(words) for _ in range(rng.randrange(1, 90))]
+            rows.append((2 * k + copy, " ".join([*head, *passage, *tail])))
+            want[2 * k + copy] = set(range(len(head), len(head) + n)) if copy and n >= 50 else set()
+    short = "Some few words. Four more words here.\nAnd then three. " * 10
+    short = " ".join(f"{w}{i}." if w.endswith(".") else w for i, w in enumerate(short.split(" ")))
+    rows += [(1000, f"begins so {short}ends so"), (1001, f"other words and {short}other end")]
+    rows += [(1002, " ".join(["ba"] * 1000))]
+    docs = table(spark, rows)
+    got = {}
+    for r in line_dedup.removed_units(docs).collect():
+        got.setdefault(r["id"], []).append((r["start"], r["stop"]))
+    for i, t in rows[:300]:
+        if want[i] or i % 2 == 0:
+            assert gone_words(got.get(i, []), t) == want[i], i
+    assert 1000 not in got and gone_words(got[1001], rows[301][1]) >= set(range(3, 3 + len(short.split())))
+    assert gone_words(got[1002], rows[302][1]) == set(range(50, 1000))
+    kept = {r["doc_id"]: r for r in line_dedup.clean(docs).collect()}
+    for i, t in rows:
+        n = len(t.split()) - len(gone_words(got.get(i, []), t))
+        assert len(kept[i]["text"].split()) == n and "".join(t[s["start"] : s["stop"]] for s in kept[i]["kept"]) == kept[i]["text"]
