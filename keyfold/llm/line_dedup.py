@@ -1,4 +1,4 @@
-"""Repeated lines: every line, and every sentence of a line of several, is a unit; later copies of a unit are removed.
+"""Repeated lines: every line, every sentence of a line of several, and every run of short ones is a unit; later copies of a unit are removed.
 
 A unit is normalised (lower case, runs of white space to one space) and digested to 128 bits.  Digests are grouped
 over the whole corpus with map-side combine; the earliest occurrence, by (id, row, offset), stays, all others go, each
@@ -35,7 +35,7 @@ PASSAGE = 50
 ANCHOR = 25
 #: Words that are hashed together.
 BLOCK = 1 << 16
-UNIT, WINDOW, MARK = 0, 2, 3
+UNIT, LINE, WINDOW, MARK = range(4)
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|\Z)", re.S)
@@ -65,31 +65,37 @@ def pieces(sentence: str, min_words: int) -> Iterator[tuple[int, int]]:
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised) of each sentence (or piece of one) of at least min_words words, and of each line whose own sentences are all shorter."""
-    for start, stop, norm, _, _ in placed_units(text, min_words):
-        yield start, stop, norm
+    """(start, end, normalised) of each sentence (or piece of one) of at least min_words words, and of each run of shorter sentences that has as many."""
+    for start, stop, norm, _, _, kind in placed_units(text, min_words):
+        if kind == UNIT:
+            yield start, stop, norm
 
 
-def placed_units(text: str | None, min_words: int) -> Iterator[tuple[int, int, str, int, int]]:
-    """units() with the places of their first word and of the word after them."""
+def placed_units(text: str | None, min_words: int) -> Iterator[tuple[int, int, str, int, int, int]]:
+    """units() with the places of their first word and of the word after them, and their kind; kind LINE: a whole line of which units leave words."""
     place = 0
     for line in _LINE.finditer(text or ""):
         at, whole = line.start(), line.group()
-        found, first = False, place
-        for s in _SENTENCE.finditer(whole):
-            if len(s.group()) < 2 * min_words - 1:
-                place += len(s.group().split())
+        first, taken = place, 0
+        run: list[tuple[int, int, list[str]]] = []  # sentences, or pieces of one, that are too short
+        parts = [(s.start() + a, s.start() + b) for s in _SENTENCE.finditer(whole) for a, b in pieces(s.group(), min_words)]
+        for a, b in [*parts, (len(whole), len(whole))]:
+            words = whole[a:b].lower().split()
+            if words and len(words) < min_words:
+                run.append((a, b, words))
                 continue
-            for a, b in pieces(s.group(), min_words):
-                words = s.group()[a:b].lower().split()
-                if len(words) >= min_words:
-                    found = True
-                    yield at + s.start() + a, at + s.start() + b, " ".join(words), place, place + len(words)
+            joined = [w for x in run for w in x[2]]
+            if len(joined) >= min_words:
+                taken += len(joined)
+                yield at + run[0][0], at + run[-1][0] + len(whole[run[-1][0] : run[-1][1]].rstrip()), " ".join(joined), place, place + len(joined), UNIT
+            place += len(joined)
+            run = []
+            if words:
+                taken += len(words)
+                yield at + a, at + b, " ".join(words), place, place + len(words), UNIT
                 place += len(words)
-        if not found:
-            words = whole.lower().split()
-            if len(words) >= min_words:
-                yield at + len(whole) - len(whole.lstrip()), at + len(whole.rstrip()), " ".join(words), first, place
+        if taken < place - first and place - first >= min_words:
+            yield at + len(whole) - len(whole.lstrip()), at + len(whole.rstrip()), " ".join(whole.lower().split()), first, place, LINE
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -180,9 +186,9 @@ def unit_table(rows: DataFrame, min_words: int) -> DataFrame:
             out = [[] for _ in _TABLE]
             texts = b.column(2).to_pylist()
             for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
-                for start, stop, norm, place, after in placed_units(t, min_words):
+                for start, stop, norm, place, after, kind in placed_units(t, min_words):
                     h = xxh3_128_digest(norm.encode())
-                    for x, v in zip(out, (i, r, start, stop, place, after, UNIT, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)), strict=True):
+                    for x, v in zip(out, (i, r, start, stop, place, after, kind, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)), strict=True):
                         x.append(v)
             yield _records(out)
             ids = b.column(1).to_numpy(zero_copy_only=False)
@@ -245,7 +251,7 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, row, start, stop, first_id, first_start) of every unit that repeats an earlier one; code-point offsets, end exclusive.
 
     row tells repeated ids apart; given, docs is a table that can be read again.  A passage has a row of its own, over the
-    whole run, unless its units' rows have all its words; such rows may overlap, with disjoint they are merged.
+    whole run, unless its units' rows have all its words; so has a line that repeats.  Such rows may overlap, with disjoint they are merged.
     """
     common.ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), (F.monotonically_increasing_id() if row is None else row).alias("row"), docs[text_col].cast("string").alias("text"))

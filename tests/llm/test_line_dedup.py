@@ -91,3 +91,14 @@ def test_every_passage_of_fifty_words_is_found_whole(spark):
     for i, t in rows:
         n = len(t.split()) - len(gone_words(got.get(i, []), t))
         assert len(kept[i]["text"].split()) == n and "".join(t[s["start"] : s["stop"]] for s in kept[i]["kept"]) == kept[i]["text"]
+
+
+def test_a_repeated_line_goes_whole_and_short_sentences_are_units(spark):
+    line = f"Short one. {LONG} And an end"
+    run = "One two three. Four five six. Seven eight nine."
+    rows = [(1, f"{line}\nfirst"), (2, f"second\n  {line} \nmore"), (3, f"{LONG.upper()} {run} {OTHER}"), (4, f"It is so that a line begins otherwise. {run} {OTHER} too")]
+    got = line_dedup.removed_units(table(spark, rows)).collect()
+    text = dict(rows)
+    assert sorted({(r["id"], text[r["id"]][r["start"] : r["stop"]], r["first_id"]) for r in got}) == [(2, line, 1), (2, LONG, 1), (3, LONG.upper(), 1), (4, run, 3)]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.clean(table(spark, rows)).collect()}
+    assert kept[1] == text[1] and kept[2] == "second\n   \nmore" and kept[4] == text[4].replace(run, "")
