@@ -3,8 +3,8 @@
 A unit is normalised (lower case, runs of white space to one space) and digested to 128 bits.  Digests are grouped
 over the whole corpus with map-side combine; the earliest occurrence, by (id, row, offset), stays, all others go, each
 with its offsets in the original text.  Sentences, and pieces of sentences over
-LONG words, make a passage visible that stands within a longer line.  Units of fewer than
-`min_words` words repeat by chance and are never removed.
+LONG words, make a passage visible that stands within a longer line.  Units within a line that have
+fewer than `min_words` words repeat by chance and are never removed; whole lines go whatever their length.
 
 Passages are exact, wherever they stand: a word goes if any PASSAGE words in a row around it stood earlier.  The lowest hash of
 the runs of ANCHOR words within such a window depends on the window alone, so only windows whose lowest hash occurs
@@ -72,7 +72,7 @@ def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, i
 
 
 def placed_units(text: str | None, min_words: int) -> Iterator[tuple[int, int, str, int, int, int]]:
-    """units() with the places of their first word and of the word after them, and their kind; kind LINE: a whole line of which units leave words."""
+    """units() with the places of their first word and of the word after them, and their kind; kind LINE: a whole line, of any length, of which units leave words."""
     place = 0
     for line in _LINE.finditer(text or ""):
         at, whole = line.start(), line.group()
@@ -94,7 +94,7 @@ def placed_units(text: str | None, min_words: int) -> Iterator[tuple[int, int, s
                 taken += len(words)
                 yield at + a, at + b, " ".join(words), place, place + len(words), UNIT
                 place += len(words)
-        if taken < place - first and place - first >= min_words:
+        if taken < place - first:
             yield at + len(whole) - len(whole.lstrip()), at + len(whole.rstrip()), " ".join(whole.lower().split()), first, place, LINE
 
 

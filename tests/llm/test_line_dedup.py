@@ -102,3 +102,13 @@ def test_a_repeated_line_goes_whole_and_short_sentences_are_units(spark):
     assert sorted({(r["id"], text[r["id"]][r["start"] : r["stop"]], r["first_id"]) for r in got}) == [(2, line, 1), (2, LONG, 1), (3, LONG.upper(), 1), (4, run, 3)]
     kept = {r["doc_id"]: r["text"] for r in line_dedup.clean(table(spark, rows)).collect()}
     assert kept[1] == text[1] and kept[2] == "second\n   \nmore" and kept[4] == text[4].replace(run, "")
+
+
+def test_short_lines_that_repeat_go(spark):
+    licence = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, f"one\n{licence}\nEnd"), (2, f"{licence}\ntwo {licence}"), (3, f"three\n  {licence.upper()}\r\nend\n\n \n"), (4, "\n\n \n")]
+    text = dict(rows)
+    got = line_dedup.removed_units(table(spark, rows)).collect()
+    assert sorted((r["id"], text[r["id"]][r["start"] : r["stop"]], r["first_id"]) for r in got) == [(2, licence, 1), (3, licence.upper(), 1), (3, "end", 1)]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.clean(table(spark, rows)).collect()}
+    assert kept == {1: text[1], 2: f"\ntwo {licence}", 3: "three\n  \r\n\n\n \n", 4: text[4]}
