@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds what agrees with them.
 
 The patterns for email, ip, card and phone give the base spans, which always stay.  The field's nodes are a document's tokens
-(runs without white space) that have a digit, an at sign or a key prefix; all other tokens are outside by construction.  A node's potential sums hashed features
-of its shape and of the two words before it.  Chain edges join nodes that follow each other; skip edges join distant nodes
+(runs without white space) that have a digit, an at sign or a key prefix, the values that stand after a cue for secrets, every repeat of such
+a value, and long tokens with a capital after a small letter; all other tokens are outside by construction.  A node's potential sums hashed features
+of its shape, of the two words before it and of whether its value stands after a cue anywhere in the document.  Chain edges join nodes that follow each other; skip edges join distant nodes
 that repeat (same letters and digits) or are similar (same shape and ending), each to the next one of its kind, so their number is linear.
 Loopy message passing over all edges gives every node's label probabilities; a node labelled otherwise than
 outside, and not within a base span, becomes a further span.  Labels: email, ip, card, phone, and secret (keys, tokens, passwords).
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +34,8 @@ from keyfold.llm import common
 KINDS = ("email", "ip", "card", "phone", "secret")
 SAMPLE = 6_000
 FEATURES = 1 << 12
+#: Features of their own: whether the token's value stands after a cue for secrets in the document.
+CUED, NOT_CUED = FEATURES - 1, FEATURES - 2
 ROUNDS = 8
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -43,6 +47,12 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TRIGGER = re.compile(r"[0-9@]")
 #: What labels a token as a secret for training.
 _SECRETS = re.compile(r"""AKIA[0-9A-Z]{16}|(?:token|passw(?:or)?d|secret|api[_-]?key)\s*[=:]\s*["']?([^\s"'#]{8,})""", re.I)
+#: What the case-folded text has if _SECRETS matches.
+_CUES = ("token", "passw", "secret", "api", "akia")
+_MIXED = re.compile(r"[a-z][A-Z]")
+_MIXED_LENGTH = 16
+_TOKEN = re.compile(r"\S+")
+_PART = re.compile(r"""[^\s"'#:=,;&?()\[\]{}<>]{8,}""")
 _EDGE = re.compile(r"^[^\w+(]+|[^\w)]+$")
 
 
@@ -105,8 +115,54 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def nodes(text: str) -> list[tuple[int, int]]:
-    """(start, stop) of the tokens that may be personal data."""
+def plain_key(core: str) -> str:
+    return "".join(c for c in core.lower() if c.isalnum())
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    """(start, stop) of the values after cues for secrets."""
+    folded = text.casefold()
+    if not any(k in folded for k in _CUES):
+        return []
+    return [m.span(1 if m.group(1) else 0) for m in _SECRETS.finditer(text)]
+
+
+def nodes(text: str, cued: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """(start, stop) of the tokens that may be personal data, in order; cued: secrets(text), if known."""
+    out = _marked(text)
+    more = secrets(text) if cued is None else list(cued)
+    first = len(more)  # so many are the values themselves
+    if more:
+        values = {plain_key(text[slice(*value(text, *s))]) for s in more}
+        for m in _TOKEN.finditer(text):
+            if plain_key(text[slice(*value(text, *m.span()))]) in values:
+                more.append(m.span())
+            else:
+                more += [x.span() for x in _PART.finditer(text, *m.span()) if plain_key(x.group()) in values]
+    at = 0
+    while m := _MIXED.search(text, at):
+        start, at = m.span()
+        while start and not text[start - 1].isspace():
+            start -= 1
+        while at < len(text) and not text[at].isspace():
+            at += 1
+        if at - start >= _MIXED_LENGTH:
+            more.append((start, at))
+    if not more:
+        return out
+    # marked tokens go before, values after cues before what else overlaps them
+    ends = sorted([(a, b, 0) for a, b in out] + [(a, b, 1 + (k >= first)) for k, (a, b) in enumerate(more)])
+    kept: list[tuple[int, int, int]] = []
+    for x in ends:
+        while kept and x[0] < kept[-1][1] and x[2] < kept[-1][2]:
+            kept.pop()
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+    return [x[:2] for x in kept]
+
+
+def _marked(text: str) -> list[tuple[int, int]]:
+    """(start, stop) of the tokens with a digit, an at sign or a key prefix."""
     out, at = [], 0
     marks = [m for k in ("AKIA",) if k in text for m in (x.start() for x in re.finditer(k, text))]
     while True:
@@ -148,8 +204,8 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "9", s))
 
 
-def describe(text: str, start: int, stop: int) -> tuple[list[int], str, str]:
-    """Hashed features (of the token, then two of its cues), its repeat key and its similarity key."""
+def describe(text: str, start: int, stop: int, cued: frozenset[str] | set[str] = frozenset()) -> tuple[list[int], str, str]:
+    """Hashed features (of the token, then three of its cues), its repeat key and its similarity key; cued: repeat keys of the values after cues."""
     token = text[start:stop]
     a, b = value(text, start, stop)
     core = text[a:b]
@@ -157,7 +213,7 @@ def describe(text: str, start: int, stop: int) -> tuple[list[int], str, str]:
     before = text[max(0, start - 60) : start].split()[-2:]
     if a > start and "=" in text[start:a]:
         before = [*before, text[start:a].rstrip("=\"'")][-2:]
-    plain = "".join(c for c in core.lower() if c.isalnum())
+    plain = plain_key(core)
     hexa = len(plain) >= 8 and all(c in "0123456789abcdef" for c in plain)
     form = shape(core)
     parts = [p.lstrip("0") for p in core.split(".")]
@@ -169,7 +225,7 @@ def describe(text: str, start: int, stop: int) -> tuple[list[int], str, str]:
     cues = [f"b{w.lower()}" for w in [""] * (2 - len(before)) + before]
     # cues: the word before, and both
     cues = [cues[1], cues[0] + cues[1]]
-    ids = [zlib.crc32(x.encode()) % FEATURES for x in own + cues]
+    ids = [zlib.crc32(x.encode()) % FEATURES for x in own + cues] + [CUED if plain in cued else NOT_CUED]
     return ids, plain, f"{form}|{plain[-6:]}"
 
 
@@ -189,9 +245,14 @@ def graph(texts: list[str | None]) -> Graph:
     for d, text in enumerate(texts):
         last: dict[str, int] = {}
         before = -1
-        for start, stop in nodes(text) if text else []:
+        cued = secrets(text) if text else []
+        keys = {plain_key(text[slice(*value(text, *s))]) for s in cued} if text else set()
+        for start, stop in nodes(text, cued) if text else []:
             i = len(x)
-            ids, same, similar = describe(text, start, stop)
+            k = bisect_left(cued, (stop, stop)) - 1
+            ids, same, similar = describe(text, start, stop, keys)
+            if k >= 0 and cued[k][1] > start:
+                ids[-1] = CUED
             x.append(ids)
             place.append((d, start, stop))
             linked = set()
@@ -205,18 +266,25 @@ def graph(texts: list[str | None]) -> Graph:
                     edges.append((j, i, kind))
                     linked.add(j)
                 last[key] = i
-    return Graph(np.array(x, np.int64).reshape(len(x), 12), np.array(edges, np.int64).reshape(-1, 3), place)
+    return Graph(np.array(x, np.int64).reshape(len(x), 13), np.array(edges, np.int64).reshape(-1, 3), place)
 
 
 #: Before training, chain edges say nothing and skip edges favour equal labels; training is drawn back to this.
 PRIOR = np.stack([c * np.eye(len(KINDS) + 1) for c in (0.0, 2.0, 0.5)])
 
 
+def _weights() -> np.ndarray:
+    """Before training, a cue favours a secret and all else says nothing."""
+    w = np.zeros((FEATURES, len(KINDS) + 1))
+    w[CUED, -1] = 4.0
+    return w
+
+
 @dataclass
 class Model:
     """Label 0 is outside, label k + 1 is KINDS[k]."""
 
-    w: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, len(KINDS) + 1)))
+    w: np.ndarray = field(default_factory=lambda: _weights())
     pair: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def potentials(self, x: np.ndarray) -> np.ndarray:
@@ -278,7 +346,7 @@ def train(texts: list[str], steps: int = 120, rate: float = 0.3, hide: float = 0
     w2 = np.vstack([w2, np.ones((1, w2.shape[1]))])
     for _ in range(steps):
         x = g.x.copy()
-        x[:, -2:][rng.random((len(x), 1)).repeat(2, 1) < hide] = FEATURES
+        x[:, -3:][rng.random((len(x), 1)).repeat(3, 1) < hide] = FEATURES
         b, e = model.propagate(g, x)
         gw = np.zeros_like(model.w)
         np.add.at(gw, x.ravel(), np.repeat(truth - b, x.shape[1], axis=0))
@@ -332,9 +400,9 @@ def _groups(texts: list[str | None], block: int) -> Iterator[tuple[int, list[str
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A field from a bounded sample of docs with a digit or an at sign; `sample` texts reach the driver."""
+    """A field from a bounded sample of docs with a digit, an at sign or a cue for secrets; `sample` texts reach the driver."""
     text = F.col(text_col).cast("string")
-    marked = docs.where(text.rlike("[0-9@]")).select(text.alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    marked = docs.where(text.rlike(r"(?i)[0-9@]|(?:token|passw(?:or)?d|secret|api[_-]?key)\s*[=:]")).select(text.alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     lowest = common.lowest(marked.select("h"), F.col("h"), sample, docs.count())
     rows = marked.join(F.broadcast(lowest.distinct()), "h").select("text").limit(2 * sample).collect()
     return train(sorted(r["text"] for r in rows))

@@ -85,3 +85,14 @@ def test_awkward_rows(spark):
     assert clean[70]["text"] == "write to <email> or <ip>" and clean[71]["text"] == "call <phone>" and clean[20]["text"] is None
     assert clean[70]["row"] == "x" and pii.find(table(spark, []), model).count() == 0
     assert pii.learn(table(spark, [])).pair.tolist() == pii.PRIOR.tolist()
+
+
+def test_secrets_without_a_digit(spark):
+    model = pii.train([t for t, _ in documents(1, 400)])
+    value, other = "correcthorsebattery", "QwErTyUiOpAs"
+    t = f'Use password: {value}. Then "{value}", or api_key={other}; call f({other}) and x={value}&y now. Nothing else is secret here'
+    want = sorted((4, *m.span()) for v in (value, other) for m in re.finditer(v, t))
+    assert pii.spans_of([t], model)[0] == ([], want)
+    assert len(pii.nodes("A LongMixedCaseTokenHere only, and iPhone")) == 1 and pii.nodes("Token of thanks: words without any") == []
+    left = pii.redact(table(spark, [(1, t)]), model).collect()[0]["text"]
+    assert value not in left and other not in left and left.endswith("Nothing else is secret here")
