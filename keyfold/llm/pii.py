@@ -4,7 +4,8 @@ The patterns for email, ip, card and phone give the base spans, which always sta
 (runs without white space) that have a digit, an at sign or a key prefix, the values that stand after a cue for secrets, every repeat of such
 a value, and long tokens with a capital after a small letter; all other tokens are outside by construction.  A node's potential sums hashed features
 of its shape, of the two words before it and of whether its value stands after a cue anywhere in the document.  Chain edges join nodes that follow each other; skip edges join distant nodes
-that repeat (same letters and digits) or are similar (same shape and ending), each to the next one of its kind, so their number is linear.
+that repeat (same letters and digits), all to the first of them, or are similar (same shape and ending), each to the next one, so their
+number is linear and what one repeat shows reaches all others over two edges.
 Loopy message passing over all edges gives every node's label probabilities; a node labelled otherwise than
 outside, and not within a base span, becomes a further span.  Labels: email, ip, card, phone, and secret (keys, tokens, passwords).
 
@@ -242,6 +243,7 @@ def graph(texts: list[str | None]) -> Graph:
     x: list[list[int]] = []
     edges: list[tuple[int, int, int]] = []
     place: list[tuple[int, int, int]] = []
+    sames: list[str] = []
     for d, text in enumerate(texts):
         last: dict[str, int] = {}
         before = -1
@@ -256,16 +258,18 @@ def graph(texts: list[str | None]) -> Graph:
             x.append(ids)
             place.append((d, start, stop))
             linked = set()
-            if before >= 0 and start - place[before][2] <= 2:
+            if before >= 0 and start - place[before][2] <= 2 and (len(same) < 4 or last.get(f"={same}", -1) != before):
                 edges.append((before, i, 0))
                 linked.add(before)
             before = i
+            sames.append(same)
             for kind, key in ((1, f"={same}"), (2, f"~{similar}")):
                 j = last.get(key, -1) if len(same) >= 4 else -1
-                if j >= 0 and j not in linked:
+                if j >= 0 and j not in linked and (kind == 1 or sames[j] != same):
                     edges.append((j, i, kind))
                     linked.add(j)
-                last[key] = i
+                if kind == 2 or key not in last:
+                    last[key] = i
     return Graph(np.array(x, np.int64).reshape(len(x), 13), np.array(edges, np.int64).reshape(-1, 3), place)
 
 

@@ -96,3 +96,23 @@ def test_secrets_without_a_digit(spark):
     assert len(pii.nodes("A LongMixedCaseTokenHere only, and iPhone")) == 1 and pii.nodes("Token of thanks: words without any") == []
     left = pii.redact(table(spark, [(1, t)]), model).collect()[0]["text"]
     assert value not in left and other not in left and left.endswith("Nothing else is secret here")
+
+
+def test_one_cue_reaches_thirty_repeats():
+    """Neither the cue's feature nor any trained weight tells: what one node shows must reach all others over the edges."""
+    value = "0f3a" * 10
+    t = "\n".join(f"word {value} item" for _ in range(30))
+    g = pii.graph([t])
+    model = pii.Model()
+    model.w[:] = 0
+    model.w[0, 0] = -1 / g.x.shape[1]  # nodes alone have no preference
+    model.w[pii.FEATURES - 3, -1] = 10
+    g.x[:] = 0
+    g.x[14, -1] = pii.FEATURES - 3
+    assert len(g.edges) == 29 and set(model.label(g)) == {len(pii.KINDS)}
+    trained = pii.train([t for t, _ in documents(1, 400)])
+    for v in (value, "correcthorsebattery"):
+        lines = [f"word {v} item" for _ in range(30)]
+        lines[14] = f"password: {v} item"
+        t = "\n".join(lines)
+        assert pii.spans_of([t], trained)[0][1] == [(4, *m.span()) for m in re.finditer(v, t)]
