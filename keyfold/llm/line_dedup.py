@@ -7,8 +7,9 @@ LONG words, make a passage visible that stands within a longer line.  Units with
 fewer than `min_words` words repeat by chance and are never removed; whole lines go whatever their length.
 
 Passages are exact, wherever they stand: a word goes if any PASSAGE words in a row around it stood earlier.  The lowest hash of
-the runs of ANCHOR words within such a window depends on the window alone, so only windows whose lowest hash occurs
-twice in the corpus are digested and grouped like units.  Windows that go are joined to maximal runs.
+the runs of ANCHOR words within such a window, its mark, depends on the window alone.  Marks that follow each other at the
+same distance as at their first places cover what lies between them; only windows with a mark near the ends of such a chain
+are digested and grouped like units.  Windows that go and chains are joined to maximal runs.
 
 Null and empty texts have no units.  Null ids rank last.  Repeated rows are occurrences like any other, in the order
 of the table.  An empty table gives an empty result; other columns of the input are ignored by removed_units() and
@@ -32,10 +33,10 @@ MIN_WORDS = 8
 LONG = 32
 #: So many equal words in a row are found wherever they stand.
 PASSAGE = 50
-ANCHOR = 25
+ANCHOR = 26
 #: Words that are hashed together.
 BLOCK = 1 << 16
-UNIT, LINE, WINDOW, MARK = range(4)
+UNIT, LINE, WINDOW, COVER, MARK = range(5)
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|\Z)", re.S)
@@ -47,11 +48,11 @@ def pieces(sentence: str, min_words: int) -> Iterator[tuple[int, int]]:
     A piece begins where a word's hash is below those of the min_words - 1 words on either side.  That depends on nothing further away, so a passage
     is cut alike wherever it stands, and no inner piece is shorter than min_words.
     """
-    words = list(_WORD.finditer(sentence))
-    n, reach = len(words), min_words - 1
-    if n <= LONG:
+    if len(sentence) <= 2 * LONG or len(sentence.split()) <= LONG:
         yield 0, len(sentence)
         return
+    words = list(_WORD.finditer(sentence))
+    n, reach = len(words), min_words - 1
     h = np.fromiter((crc32(w.group().lower().encode()) for w in words), np.int64, n)
     lowest = np.ones(n, bool)
     lowest[:min_words] = lowest[n - reach :] = False
@@ -117,12 +118,13 @@ def _rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
 _BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
-def _marks(h: np.ndarray) -> np.ndarray:
-    """The mark of every window of PASSAGE words: the lowest hash of a run of ANCHOR words in it."""
-    m, width, span = _rolling(h, ANCHOR, _BASES[0]), PASSAGE - ANCHOR + 1, 1
+def _marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mark of every window of PASSAGE words, the lowest hash of a run of ANCHOR words in it; and the hashes of all these runs."""
+    g, width, span = _rolling(h, ANCHOR, _BASES[0]), PASSAGE - ANCHOR + 1, 1
+    m = g
     while 2 * span <= width:
         m, span = np.minimum(m[:-span], m[span:]), 2 * span
-    return np.minimum(m[: len(m) - (width - span)], m[width - span :])
+    return np.minimum(m[: len(m) - (width - span)], m[width - span :]), g
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,14 +151,15 @@ def _inside(text: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (text[:-last] == text[last:]) & (place[last:] - place[:-last] == last)
 
 
-def marks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index of the text, mark), one for each place that a mark stands at."""
+def marks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the text, place, mark), one for each place that a mark stands at."""
     for h, text, place in _blocks(texts):
-        m, ok = _marks(h), _inside(text, place)
+        (m, g), ok = _marks(h), _inside(text, place)
         new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | ~ok[:-1])) & ok)
         last = np.flatnonzero(ok & np.concatenate(((m[1:] != m[:-1]) | ~ok[1:], [True])))
-        new = np.concatenate((new, new[last - new > PASSAGE - ANCHOR]))  # one place has so many windows at most: beyond, the text goes round
-        yield text[new], m[new].view(np.int64)
+        new = np.concatenate((new, last[last - new > PASSAGE - ANCHOR]))  # one place has so many windows at most: beyond, the text goes round
+        at = new + np.lib.stride_tricks.sliding_window_view(g, PASSAGE - ANCHOR + 1)[new].argmin(axis=1)
+        yield text[new], place[at], m[new].view(np.int64)
 
 
 def windows(texts: list[str | None], wanted: list[list[int]]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -164,7 +167,7 @@ def windows(texts: list[str | None], wanted: list[list[int]]) -> Iterator[tuple[
     wanted = [np.array(x, np.int64).view(np.uint64) for x in wanted]
     for h, text, place in _blocks(texts):
         want = np.unique(np.concatenate([wanted[d] for d in np.unique(text)]))
-        at = np.flatnonzero(_inside(text, place) & np.isin(_marks(h), want))
+        at = np.flatnonzero(_inside(text, place) & np.isin(_marks(h)[0], want))
         yield text[at], place[at], _rolling(h, PASSAGE, _BASES[0])[at].view(np.int64), _rolling(_mixed(h), PASSAGE, _BASES[1])[at].view(np.int64)
 
 
@@ -191,30 +194,79 @@ def unit_table(rows: DataFrame, min_words: int) -> DataFrame:
                     for x, v in zip(out, (i, r, start, stop, place, after, kind, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)), strict=True):
                         x.append(v)
             yield _records(out)
-            ids = b.column(1).to_numpy(zero_copy_only=False)
-            for d, m in marks(texts):
-                none = np.zeros(len(d), np.int8)
-                yield _records([pa.nulls(len(d), pa.int64()), ids[d], none, none, none, none, none + MARK, m, none])
+            for d, place, m in marks(texts):
+                none, at = np.zeros(len(d), np.int8), pa.array(d)
+                yield _records([b.column(0).take(at), b.column(1).take(at), none, none, place.astype(np.int32), none, none + MARK, m, none])
 
     return rows.mapInArrow(run, _TABLE_SQL)
 
 
+def _chains(row: np.ndarray, place: np.ndarray, later: np.ndarray, first_row: np.ndarray, first_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a mark is near an end of a chain, first and last marks of the chains of PASSAGE words or more); marks in the order of their rows and places.
+
+    A window that goes and is in no chain's cover has an end of a chain in it, within PASSAGE - ANCHOR words of its own mark.
+    """
+    step = np.diff(place)
+    after = np.zeros(len(row), bool)
+    after[1:] = (row[1:] == row[:-1]) & later[1:] & later[:-1] & (first_row[1:] == first_row[:-1]) & (step == np.diff(first_place)) & (step < ANCHOR)
+    before = np.append(after[1:], False)
+    key = row * (np.int64(place.max()) + 2 * PASSAGE) + place
+    ends = key[later & ~(after & before)]
+    near = np.searchsorted(ends, key - ANCHOR) < np.searchsorted(ends, key + ANCHOR, "right")
+    a, z = np.flatnonzero(later & ~after), np.flatnonzero(later & ~before)
+    whole = place[z] + ANCHOR - place[a] >= PASSAGE
+    return near, a[whole], z[whole]
+
+
+def chain_table(linked: DataFrame) -> DataFrame:
+    """(row, marks, place, after): the marks near ends of chains, and the covers of the chains; linked: (row, list of marks in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values))
+
+        for b in batches:
+            n, x = b.num_rows, b.column(1).flatten()
+            if not n:
+                continue
+            row = np.repeat(np.arange(n), np.diff(b.column(1).offsets.to_numpy()))
+            place, mark, later, first_row, first_place = (x.field(k).to_numpy(zero_copy_only=False) for k in ("place", "mark", "later", "first_row", "first_place"))
+            near, a, z = _chains(row, place, later, first_row, first_place)
+            yield pa.RecordBatch.from_arrays([b.column(0), cut(mark[near], row[near], n), cut(place[a], row[a], n), cut(place[z] + np.int32(ANCHOR), row[a], n)], ["row", "marks", "place", "after"])
+
+    return linked.mapInArrow(run, "row long, marks array<long>, place array<int>, after array<int>")
+
+
 def window_table(rows: DataFrame, u: DataFrame) -> DataFrame:
-    """The columns of u, from unit_table(), of every window whose mark stands at two places at least."""
-    held = u.where(F.col("kind") == MARK).select("row", F.col("h1").alias("mark"))
+    """The columns of u, from unit_table(), of the covers of chains and of every window whose mark is near an end of one in any text."""
+    held = u.where(F.col("kind") == MARK).select("id", "row", "place", F.col("h1").alias("mark"))
     again = common.materialize(held.groupBy("mark").count().where("count > 1").select("mark"), "marks")
-    wanted = held.join(again.hint("merge"), "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
-    found = rows.join(wanted.hint("merge"), "row").select("id", "row", "text", "marks")
+    held = common.materialize(held.join(again.hint("merge"), "mark"), "marks")
+    first = common.materialize(held.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")).alias("first")), "first")
+    later = (F.col("row") != F.col("first.row")) | (F.col("place") >= F.col("first.place") + PASSAGE)
+    x = F.struct("place", "mark", later.alias("later"), F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
+    linked = held.join(first.hint("merge"), "mark").groupBy("row").agg(F.array_sort(F.collect_list(x)).alias("marks"))
+    chains = common.materialize(chain_table(linked), "chains")
+    ends = common.materialize(chains.select(F.explode("marks").alias("mark")).distinct(), "marks")
+    wanted = held.select("row", "mark").join(ends.hint("merge"), "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
+    wanted = wanted.join(chains.select("row", F.col("place").alias("begin"), F.col("after").alias("end")), "row", "left")
+    found = rows.join(wanted.hint("merge"), "row").select("id", "row", "text", "marks", "begin", "end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(a, 1000) for x in batches for a in range(0, x.num_rows, 1000)):
             texts = b.column(2).to_pylist()
             spans: tuple[int, np.ndarray] = (-1, np.zeros(0))
+            left = {k: (x, y) for k, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)) if x}
             for d, place, h1, h2 in windows(texts, b.column(3).to_pylist()):
                 start, stop = np.zeros((2, len(d)), np.int32)
                 for k in np.unique(d):
                     if spans[0] != k:
                         spans = k, np.array([m.span() for m in _WORD.finditer(texts[k])], np.int32)
+                        if k in left:  # a text with a chain has windows at its ends
+                            x, y = map(np.array, left.pop(k))
+                            at = pa.array(np.full(len(x), k))
+                            none = np.zeros(len(x), np.int64)
+                            yield _records([b.column(0).take(at), b.column(1).take(at), spans[1][x, 0], spans[1][y - 1, 1], x.astype(np.int32), y.astype(np.int32), np.full(len(x), COVER, np.int8), none, none])
                     mine = d == k
                     start[mine], stop[mine] = spans[1][place[mine], 0], spans[1][place[mine] + PASSAGE - 1, 1]
                 at = pa.array(d)
@@ -225,16 +277,17 @@ def window_table(rows: DataFrame, u: DataFrame) -> DataFrame:
 
 def _joined(start: np.ndarray, stop: np.ndarray, place: np.ndarray, after: np.ndarray, kind: np.ndarray, disjoint: bool) -> list[tuple[int, int, int]]:
     """(start, stop, index) of a row's units that go and of its runs of windows that take more words than these; disjoint: merged."""
-    units_, w = np.flatnonzero(kind != WINDOW), np.flatnonzero(kind == WINDOW)
+    units_, w = np.flatnonzero(kind < WINDOW), np.flatnonzero(kind >= WINDOW)
     out = list(zip(start[units_].tolist(), stop[units_].tolist(), units_.tolist(), strict=True))
     if len(w):
         covered = np.zeros(after.max(), bool)
         for a, b in zip(place[units_].tolist(), after[units_].tolist(), strict=True):
             covered[a:b] = True
-        cut = np.flatnonzero(place[w[1:]] > after[w[:-1]])
-        for a, b in zip(w[np.concatenate(([0], cut + 1))].tolist(), w[np.append(cut, len(w) - 1)].tolist(), strict=True):
-            if not covered[place[a] : after[b]].all():
-                out.append((int(start[a]), int(stop[b]), a))
+        until, end = np.maximum.accumulate(after[w]), np.maximum.accumulate(stop[w])
+        cut = np.flatnonzero(place[w[1:]] > until[:-1])
+        for a, b in zip(w[np.concatenate(([0], cut + 1))].tolist(), np.append(cut, len(w) - 1).tolist(), strict=True):
+            if not covered[place[a] : until[b]].all():
+                out.append((int(start[a]), int(end[b]), a))
         out.sort()
     if not disjoint:
         return out
@@ -258,7 +311,8 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if row is None:
         rows = common.materialize(rows, "docs")
     marked = common.materialize(unit_table(rows, min_words), "units")
-    u = marked.where(F.col("kind") != MARK).unionByName(common.materialize(window_table(rows, marked), "windows"))
+    found = common.materialize(window_table(rows, marked), "windows")
+    u = marked.where(F.col("kind") < WINDOW).unionByName(found.where(F.col("kind") == WINDOW))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start", "place")
     first = u.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = common.materialize(first, "first")  # a table of its own: the join's shuffle of units can then be split where a digest is hot
@@ -266,7 +320,9 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     apart = (F.col("kind") != WINDOW) | (F.col("row") != F.col("first.row")) | (F.col("place") >= F.col("first.place") + PASSAGE)
     later = u.join(first.hint("merge"), ["h1", "h2"]).where(again & apart)
     x = F.struct("start", "stop", "place", "after", "kind", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
-    later = later.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(x)).alias("later"))
+    covers = found.where(F.col("kind") == COVER).withColumn("first", F.lit(None).cast("struct<id:long,start:int>"))
+    later = later.select("id", "row", x.alias("x")).union(covers.select("id", "row", x.alias("x")))
+    later = later.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list("x")).alias("later"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
