@@ -222,7 +222,7 @@ def train(rows: list[tuple[str, str]], settings: Settings | None = None) -> Netw
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, settings: Settings | None = None) -> Network:
     """A network from a bounded sample of the rows of labelled: the documents, less what must not be learnt from."""
     some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = F.broadcast(common.lowest(some.select(F.col(id_col).alias("i"), F.xxhash64(id_col, text_col).alias("h")), F.col("h"), sample, labelled.count()).distinct())  # at most `sample` rows
+    ids = F.broadcast(common.lowest(some.select(F.col(id_col).alias("i"), F.xxhash64(id_col, text_col).alias("h")), F.col("h"), sample, some.count()).distinct())  # at most `sample` rows
     rows = some.join(ids, (F.col(id_col).eqNullSafe(ids["i"])) & (F.xxhash64(id_col, text_col) == ids["h"])).select(text_col, lang_col).limit(2 * sample).collect()
     return train([(t, g) for t, g in rows if has_letter(t)], settings)
 

@@ -407,7 +407,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """A field from a bounded sample of docs with a digit, an at sign or a cue for secrets; `sample` texts reach the driver."""
     text = F.col(text_col).cast("string")
     marked = docs.where(text.rlike(r"(?i)[0-9@]|(?:token|passw(?:or)?d|secret|api[_-]?key)\s*[=:]")).select(text.alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    lowest = common.lowest(marked.select("h"), F.col("h"), sample, docs.count())
+    lowest = common.lowest(marked.select("h"), F.col("h"), sample, marked.count())
     rows = marked.join(F.broadcast(lowest.distinct()), "h").select("text").limit(2 * sample).collect()
     return train(sorted(r["text"] for r in rows))
 

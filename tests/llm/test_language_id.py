@@ -61,3 +61,11 @@ def test_nothing_to_learn_from(spark):
     assert net.languages == [] and [r["lang_pred"] for r in li.label(table(spark, [(1, "abc")]), net).collect()] == ["und"]
     one = li.learn(table(spark, [(1, "abc", "x")]))
     assert [tuple(r) for r in li.label(table(spark, [(1, "abc")]), one).collect()] == [(1, "x", 1.0)]
+
+
+def test_sample_is_reached_where_few_rows_are_labelled(spark, monkeypatch):
+    docs = table(spark, [(i, f"some text {i}", "en" if i % 20 == 0 else None) for i in range(4000)])
+    got = []
+    monkeypatch.setattr(li, "train", lambda rows, settings: got.extend(rows))
+    li.learn(docs, sample=50)
+    assert len(got) == 50

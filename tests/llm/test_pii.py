@@ -116,3 +116,11 @@ def test_one_cue_reaches_thirty_repeats():
         lines[14] = f"password: {v} item"
         t = "\n".join(lines)
         assert pii.spans_of([t], trained)[0][1] == [(4, *m.span()) for m in re.finditer(v, t)]
+
+
+def test_sample_is_reached_where_few_rows_are_marked(spark, monkeypatch):
+    docs = table(spark, [(i, f"item {i}" if i % 20 == 0 else "no mark here") for i in range(4000)])
+    got = []
+    monkeypatch.setattr(pii, "train", got.extend)
+    pii.learn(docs, sample=50)
+    assert len(got) == 50
