@@ -219,16 +219,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = BUDGET) -> DataFrame:
-    """The rows of docs, with all their columns, that have the smallest id of their class; one row where an id repeats.
+    """A row of docs, with all its columns, for each component of fingerprints: one with the smallest id.
 
+    Fingerprints, not ids, are the nodes here, so that rows of one id with unrelated texts are decided each by its own text.
     Rows with a null id stay.  Text is shuffled only if the ids to drop are too many to broadcast, or an id repeats.
     """
-    found = common.materialize(near_duplicates(docs, id_col, text_col, shingle, budget).select(F.col(id_col).alias("gone"), "component_id"), "classes")
-    drop = found.where("gone <> component_id").select("gone").distinct()
+    prints = common.materialize(fingerprints(docs, id_col, text_col, shingle).where("id is not null"), "simhash")
+    nodes = common.materialize(prints.select("fp", F.col("fp").alias("rep")).distinct(), "simhash-nodes")
+    found = common.components(links(nodes, budget))
+    classes = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("__class"))
+    classes = common.materialize(classes, "classes")
+    rows = common.materialize(prints.join(classes, "fp").select("id", "__class"), "classes")
+    first = common.materialize(rows.groupBy("__class").agg(F.min("id").alias("__first")), "first")
+    again = common.materialize(rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("gone")), "repeated")
+    drop = rows.join(first.hint("merge"), "__class").where("id <> __first").select(F.col("id").alias("gone")).distinct()
+    some = not again.isEmpty()
+    drop = common.materialize(drop.union(again).distinct() if some else drop, "drop")
     left = docs.join(common.small(drop), docs[id_col] == drop["gone"], "left_anti")
-    again = found.where("gone = component_id").groupBy("gone").count().where("count > 1").select("gone")
-    if again.isEmpty():
+    if not some:
         return left
-    again = common.small(common.materialize(again, "repeated"))
-    once = left.join(again, left[id_col] == again["gone"], "left_semi").dropDuplicates([id_col])
-    return left.join(again, left[id_col] == again["gone"], "left_anti").unionByName(once)
+    again = common.small(again)
+    once = docs.join(again, docs[id_col] == again["gone"], "left_semi").withColumn("__key", F.xxhash64(id_col, text_col))
+    keys = common.materialize(fingerprints(once, "__key", text_col, shingle).distinct(), "keys").join(classes, "fp").join(first, "__class").select(F.col("id").alias("__key"), "__class", "__first")
+    once = once.join(keys, "__key").where(F.col(id_col) == F.col("__first")).dropDuplicates(["__class"]).select(*docs.columns)
+    return left.unionByName(once)

@@ -101,3 +101,14 @@ def test_keep_one(spark):
     left = simhash.keep_one(table(spark, rows))
     assert sorted(r["doc_id"] or -1 for r in left.collect()) == [-1, 2, 9]
     assert left.columns == table(spark, []).columns
+
+
+def test_keep_one_decides_each_row_of_an_id_that_repeats(spark):
+    from tests.llm.helpers import sentence
+
+    rng = random.Random(12)
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    rows = [(0, a), (1, a), (1, b), (2, c), (2, d), (2, c), (3, d), (None, a), (None, a)]
+    kept = simhash.keep_one(table(spark, rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(0, a), (1, b), (2, c), (2, d), (None, a), (None, a)], key=str)
+    assert kept.columns == table(spark, []).columns
