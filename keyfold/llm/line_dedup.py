@@ -1,26 +1,28 @@
-"""Repeated lines: every line, every sentence of a line of several, and every run of short ones is a unit; later copies of a unit are removed.
-
-A unit is normalised (lower case, runs of white space to one space) and digested to 128 bits.  Digests are grouped
-over the whole corpus with map-side combine; the earliest occurrence, by (id, row, offset), stays, all others go, each
-with its offsets in the original text.  Sentences, and pieces of sentences over
-LONG words, make a passage visible that stands within a longer line.  Units within a line that have
-fewer than `min_words` words repeat by chance and are never removed; whole lines go whatever their length.
-
-Passages are exact, wherever they stand: a word goes if any PASSAGE words in a row around it stood earlier.  The lowest hash of
-the runs of ANCHOR words within such a window, its mark, depends on the window alone.  Marks that follow each other at the
-same distance as at their first places cover what lies between them; only windows with a mark near the ends of such a chain
-are digested and grouped like units.  Windows that go and chains are joined to maximal runs.
-
-Null and empty texts have no units.  Null ids rank last.  Repeated rows are occurrences like any other, in the order
-of the table.  An empty table gives an empty result; other columns of the input are ignored by removed_units() and
-kept by clean(), whose own columns replace any of the same name.
+"""Repeated lines and passages: normalise the units, group their digests over the corpus, keep the first of each, remove the rest.
+
+Every line is a unit, whatever its length: lower case, runs of white space to one space, digested to 128 bits.  Digests are grouped over the
+whole corpus with map-side combine; the earliest occurrence, by (id, hash of the text, offset), stays, all others go, each with its offsets in the
+original text.  `min_line` leaves lines of fewer words alone; by default there is no such bound.
+
+A passage that stands within longer lines has no line of its own.  Its units are marks: among the hashes of all runs of ANCHOR words, those
+that are the lowest of some window of PASSAGE words.  So every such window has a mark, which depends on its words alone, and equal passages
+have equal marks.  Marks are grouped like lines.  Marks of a text that stand at the same distances as at their first places are
+joined to a chain, the chain is extended word by word at both ends as far as the text around the first place agrees, and goes if it has PASSAGE
+words or more.  Only texts with a chain, or with a first place, are read a second time, for the words at the chains' ends.
+
+Windows at the ends that agree with an earlier place other than the first are found by their own digests.
+
+So, barring equal hashes of unequal words, a word goes if its line stood earlier, or if any PASSAGE words in a row around it did.
+
+Null and empty texts have no units.  Null ids rank last.  Rows that are equal in id and text are copies of each other: all but one go
+whole.  An empty table gives an empty result; other columns of the input are ignored, and kept by clean(), whose own columns
+replace any of the same name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,74 +31,39 @@ from pyspark.sql import functions as F
 
 from keyfold.llm import common
 
-MIN_WORDS = 8
-LONG = 32
+#: Whole lines of fewer words than this stay.
+MIN_LINE = 1
 #: So many equal words in a row are found wherever they stand.
 PASSAGE = 50
 ANCHOR = 26
+#: Words on either side of a mark that a window with it can have.
+REACH = PASSAGE - ANCHOR
 #: Words that are hashed together.
 BLOCK = 1 << 16
-UNIT, LINE, WINDOW, COVER, MARK = range(5)
-_LINE = re.compile(r"[^\n]+")
-_WORD = re.compile(r"\S+")
-_SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|\Z)", re.S)
+LINE, MARK, TEXT = range(3)
 
 
-def pieces(sentence: str, min_words: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of the sentence, or of its pieces if it has over LONG words.
+def lines(text: str | None, min_line: int = MIN_LINE) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised) of each line of at least min_line words, without the white space around it."""
+    at = 0
+    for line in (text or "").split("\n"):
+        words = line.lower().split()
+        if len(words) >= max(min_line, 1):
+            yield at + len(line) - len(line.lstrip()), at + len(line.rstrip()), " ".join(words)
+        at += len(line) + 1
+
+
+@cache
+def _spaces() -> np.ndarray:
+    return np.array([chr(c).isspace() for c in range(0x3002)])
 
-    A piece begins where a word's hash is below those of the min_words - 1 words on either side.  That depends on nothing further away, so a passage
-    is cut alike wherever it stands, and no inner piece is shorter than min_words.
-    """
-    if len(sentence) <= 2 * LONG or len(sentence.split()) <= LONG:
-        yield 0, len(sentence)
-        return
-    words = list(_WORD.finditer(sentence))
-    n, reach = len(words), min_words - 1
-    h = np.fromiter((crc32(w.group().lower().encode()) for w in words), np.int64, n)
-    lowest = np.ones(n, bool)
-    lowest[:min_words] = lowest[n - reach :] = False
-    for k in range(1, reach + 1):
-        lowest[k:] &= h[k:] < h[:-k]
-        lowest[:-k] &= h[:-k] <= h[k:]
-    first = 0
-    for i in [*np.flatnonzero(lowest).tolist(), n]:
-        yield words[first].start(), words[i - 1].end() if i < n else len(sentence)
-        first = i
-
-
-def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised) of each sentence (or piece of one) of at least min_words words, and of each run of shorter sentences that has as many."""
-    for start, stop, norm, _, _, kind in placed_units(text, min_words):
-        if kind == UNIT:
-            yield start, stop, norm
-
-
-def placed_units(text: str | None, min_words: int) -> Iterator[tuple[int, int, str, int, int, int]]:
-    """units() with the places of their first word and of the word after them, and their kind; kind LINE: a whole line, of any length, of which units leave words."""
-    place = 0
-    for line in _LINE.finditer(text or ""):
-        at, whole = line.start(), line.group()
-        first, taken = place, 0
-        run: list[tuple[int, int, list[str]]] = []  # sentences, or pieces of one, that are too short
-        parts = [(s.start() + a, s.start() + b) for s in _SENTENCE.finditer(whole) for a, b in pieces(s.group(), min_words)]
-        for a, b in [*parts, (len(whole), len(whole))]:
-            words = whole[a:b].lower().split()
-            if words and len(words) < min_words:
-                run.append((a, b, words))
-                continue
-            joined = [w for x in run for w in x[2]]
-            if len(joined) >= min_words:
-                taken += len(joined)
-                yield at + run[0][0], at + run[-1][0] + len(whole[run[-1][0] : run[-1][1]].rstrip()), " ".join(joined), place, place + len(joined), UNIT
-            place += len(joined)
-            run = []
-            if words:
-                taken += len(words)
-                yield at + a, at + b, " ".join(words), place, place + len(words), UNIT
-                place += len(words)
-        if taken < place - first:
-            yield at + len(whole) - len(whole.lstrip()), at + len(whole.rstrip()), " ".join(whole.lower().split()), first, place, LINE
+
+def word_edges(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of text.split() begin and end."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.ones(len(points) + 2, bool)
+    space[1:-1] = _spaces()[np.minimum(points, 0x3001)]
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -105,7 +72,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
+def _rolling(h: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A hash of every run of so many words, modulo 2^64; base is odd."""
     n = len(h)
     up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
@@ -115,16 +82,12 @@ def _rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
     return _mixed((total[size:] - total[:-size]) * down[: n - size + 1])
 
 
-_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-
-
-def _marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The mark of every window of PASSAGE words, the lowest hash of a run of ANCHOR words in it; and the hashes of all these runs."""
-    g, width, span = _rolling(h, ANCHOR, _BASES[0]), PASSAGE - ANCHOR + 1, 1
-    m = g
+def _sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """of (minimum or maximum) over every run of so many values, by doubling."""
+    m, span = x, 1
     while 2 * span <= width:
-        m, span = np.minimum(m[:-span], m[span:]), 2 * span
-    return np.minimum(m[: len(m) - (width - span)], m[width - span :]), g
+        m, span = of(m[:-span], m[span:]), 2 * span
+    return of(m[: len(m) - (width - span)], m[width - span :])
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,208 +108,328 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
-def _inside(text: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Whether the window that begins at each place ends in the same text."""
-    last = PASSAGE - 1
-    return (text[:-last] == text[last:]) & (place[last:] - place[:-last] == last)
-
-
 def marks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(index of the text, place, mark), one for each place that a mark stands at."""
-    for h, text, place in _blocks(texts):
-        (m, g), ok = _marks(h), _inside(text, place)
-        new = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | ~ok[:-1])) & ok)
-        last = np.flatnonzero(ok & np.concatenate(((m[1:] != m[:-1]) | ~ok[1:], [True])))
-        new = np.concatenate((new, last[last - new > PASSAGE - ANCHOR]))  # one place has so many windows at most: beyond, the text goes round
-        at = new + np.lib.stride_tricks.sliding_window_view(g, PASSAGE - ANCHOR + 1)[new].argmin(axis=1)
-        yield text[new], place[at], m[new].view(np.int64)
-
-
-def windows(texts: list[str | None], wanted: list[list[int]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(index of the text, place, two hashes) of the windows with a wanted mark, or one that is wanted for a text beside."""
-    wanted = [np.array(x, np.int64).view(np.uint64) for x in wanted]
+    """(index of the text, place, mark) of every run of ANCHOR words whose hash is the lowest of a window of PASSAGE words; hashes that tie are all marks."""
     for h, text, place in _blocks(texts):
-        want = np.unique(np.concatenate([wanted[d] for d in np.unique(text)]))
-        at = np.flatnonzero(_inside(text, place) & np.isin(_marks(h)[0], want))
-        yield text[at], place[at], _rolling(h, PASSAGE, _BASES[0])[at].view(np.int64), _rolling(_mixed(h), PASSAGE, _BASES[1])[at].view(np.int64)
-
+        g, width, last = _rolling(h, ANCHOR), REACH + 1, PASSAGE - 1
+        inside = (text[:-last] == text[last:]) & (place[last:] - place[:-last] == last)
+        low = np.where(inside, _sliding(g, width, np.minimum), 0)
+        beside = np.zeros(REACH, np.uint64)
+        # a run is the lowest of a window if it is not above the highest of the windows' minima around it
+        at = np.flatnonzero((_sliding(np.concatenate((beside, low, beside)), width, np.maximum) == g) & (g > 0))
+        yield text[at], place[at], g[at].view(np.int64)
 
-_TABLE = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("place", pa.int32()), ("after", pa.int32()), ("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64())])
-_TABLE_SQL = "id long, row long, start int, stop int, place int, after int, kind byte, h1 long, h2 long"
 
+_FIELDS = [("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64())]
 
-def _records(columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _TABLE, strict=True)], schema=_TABLE)
 
+def unit_table(rows: DataFrame, min_line: int) -> DataFrame:
+    """(id, row, start, stop, kind, h1, h2); rows: (id, row, number, text).
 
-def unit_table(rows: DataFrame, min_words: int) -> DataFrame:
-    """(id, row, start, stop, place, after, kind, h1, h2) of every unit, and a row of kind MARK with h1 for every mark; rows: (id, row, text)."""
+    Kind LINE: offsets and digest of a line; MARK: its place as start, its hash as h1; TEXT: one for each row, with the bounds of its words, and its number as h1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        def records(b: pa.RecordBatch, of: np.ndarray, *columns) -> pa.RecordBatch:
+            own = [b.column(k).take(pa.array(of)) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, (_, t) in zip(columns, _FIELDS, strict=True))], ["id", "row", *(n for n, _ in _FIELDS)])
+
         for b in (x.slice(a, 1000) for x in batches for a in range(0, x.num_rows, 1000)):
-            out = [[] for _ in _TABLE]
-            texts = b.column(2).to_pylist()
-            for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
-                for start, stop, norm, place, after, kind in placed_units(t, min_words):
-                    h = xxh3_128_digest(norm.encode())
-                    for x, v in zip(out, (i, r, start, stop, place, after, kind, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)), strict=True):
-                        x.append(v)
-            yield _records(out)
+            texts = b.column(3).to_pylist()
+            of, start, stop, digests, first, last = [], [], [], [], [], []
+            for i, t in enumerate(texts):
+                n = len(of)
+                for a, z, norm in lines(t, min_line):
+                    of.append(i)
+                    start.append(a)
+                    stop.append(z)
+                    digests.append(xxh3_128_digest(norm))
+                whole = len(of) > n and min_line <= 1
+                first.append(start[n] if whole else len(t or "") - len((t or "").lstrip()))
+                last.append(stop[-1] if whole else len((t or "").rstrip()))
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+            yield records(b, np.array(of, np.int64), start, stop, np.full(len(of), LINE, np.int8), *h)
+            none = np.zeros(len(texts), np.int64)
+            yield records(b, np.arange(len(texts)), first, last, np.full(len(texts), TEXT, np.int8), b.column(2), none)
             for d, place, m in marks(texts):
-                none, at = np.zeros(len(d), np.int8), pa.array(d)
-                yield _records([b.column(0).take(at), b.column(1).take(at), none, none, place.astype(np.int32), none, none + MARK, m, none])
+                none = np.zeros(len(d), np.int64)
+                yield records(b, d, place.astype(np.int32), none.astype(np.int32), np.full(len(d), MARK, np.int8), m, none)
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, row long, start int, stop int, kind byte, h1 long, h2 long")
 
-    return rows.mapInArrow(run, _TABLE_SQL)
 
+def repeated(units: DataFrame, digest: list[str], *place: str) -> DataFrame:
+    """units of a digest that occurs more than once, each with `first`: (none, id, row, *place) of the earliest."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", *place)
+    first = units.groupBy(*digest).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = common.materialize(first, "first")  # a table of its own: the join's shuffle of units can then be split where a digest is hot
+    return units.join(first.hint("merge"), digest)
 
-def _chains(row: np.ndarray, place: np.ndarray, later: np.ndarray, first_row: np.ndarray, first_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whether a mark is near an end of a chain, first and last marks of the chains of PASSAGE words or more); marks in the order of their rows and places.
 
-    A window that goes and is in no chain's cover has an end of a chain in it, within PASSAGE - ANCHOR words of its own mark.
-    """
+def _meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left and right of equal id and row; a null id equals another."""
+    right = right.withColumnsRenamed({"id": "__id", "row": "__r"})
+    hinted = common.small(right) if how == "left_semi" else right.hint("merge")
+    return left.join(hinted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__r")), how).drop("__id", "__r")
+
+
+def _same() -> Column:
+    return F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row"))
+
+
+def _chained(place: np.ndarray, text: np.ndarray, first: np.ndarray, first_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last marks of the chains; text and first number the texts, marks are in the order of their text and place."""
     step = np.diff(place)
-    after = np.zeros(len(row), bool)
-    after[1:] = (row[1:] == row[:-1]) & later[1:] & later[:-1] & (first_row[1:] == first_row[:-1]) & (step == np.diff(first_place)) & (step < ANCHOR)
-    before = np.append(after[1:], False)
-    key = row * (np.int64(place.max()) + 2 * PASSAGE) + place
-    ends = key[later & ~(after & before)]
-    near = np.searchsorted(ends, key - ANCHOR) < np.searchsorted(ends, key + ANCHOR, "right")
-    a, z = np.flatnonzero(later & ~after), np.flatnonzero(later & ~before)
-    whole = place[z] + ANCHOR - place[a] >= PASSAGE
-    return near, a[whole], z[whole]
+    on = (text[1:] == text[:-1]) & (first[1:] == first[:-1]) & (step == np.diff(first_place)) & (step <= ANCHOR)
+    return np.flatnonzero(np.concatenate(([True], ~on))[: len(place)]), np.flatnonzero(np.append(~on, True)[: len(place)])
 
 
-def chain_table(linked: DataFrame) -> DataFrame:
-    """(row, marks, place, after): the marks near ends of chains, and the covers of the chains; linked: (row, list of marks in order)."""
+def chain_table(later: DataFrame) -> DataFrame:
+    """(id, row, place, after, mark, last_mark, first_id, first_row, first_place) of the chains of marks of each text; later: repeated marks that don't stand first."""
+    x = F.struct(F.col("start").alias("place"), F.col("h1").alias("mark"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_place"))
+    held = later.groupBy("id", "row").agg(F.array_sort(F.collect_set(x)).alias("marks"))  # of one text: no more than it has words
+    kind = later.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values))
-
         for b in batches:
-            n, x = b.num_rows, b.column(1).flatten()
-            if not n:
+            x = b.column(2).flatten()
+            if not len(x):
                 continue
-            row = np.repeat(np.arange(n), np.diff(b.column(1).offsets.to_numpy()))
-            place, mark, later, first_row, first_place = (x.field(k).to_numpy(zero_copy_only=False) for k in ("place", "mark", "later", "first_row", "first_place"))
-            near, a, z = _chains(row, place, later, first_row, first_place)
-            yield pa.RecordBatch.from_arrays([b.column(0), cut(mark[near], row[near], n), cut(place[a], row[a], n), cut(place[z] + np.int32(ANCHOR), row[a], n)], ["row", "marks", "place", "after"])
-
-    return linked.mapInArrow(run, "row long, marks array<long>, place array<int>, after array<int>")
-
-
-def window_table(rows: DataFrame, u: DataFrame) -> DataFrame:
-    """The columns of u, from unit_table(), of the covers of chains and of every window whose mark is near an end of one in any text."""
-    held = u.where(F.col("kind") == MARK).select("id", "row", "place", F.col("h1").alias("mark"))
-    again = common.materialize(held.groupBy("mark").count().where("count > 1").select("mark"), "marks")
-    held = common.materialize(held.join(again.hint("merge"), "mark"), "marks")
-    first = common.materialize(held.groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")).alias("first")), "first")
-    later = (F.col("row") != F.col("first.row")) | (F.col("place") >= F.col("first.place") + PASSAGE)
-    x = F.struct("place", "mark", later.alias("later"), F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
-    linked = held.join(first.hint("merge"), "mark").groupBy("row").agg(F.array_sort(F.collect_list(x)).alias("marks"))
-    chains = common.materialize(chain_table(linked), "chains")
-    ends = common.materialize(chains.select(F.explode("marks").alias("mark")).distinct(), "marks")
-    wanted = held.select("row", "mark").join(ends.hint("merge"), "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
-    wanted = wanted.join(chains.select("row", F.col("place").alias("begin"), F.col("after").alias("end")), "row", "left")
-    found = rows.join(wanted.hint("merge"), "row").select("id", "row", "text", "marks", "begin", "end")
+            text = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
+            place, row, first_place = (x.field(k).to_numpy(zero_copy_only=False) for k in ("place", "first_row", "first_place"))
+            ids = x.field("first_id").dictionary_encode().indices.fill_null(-1).to_numpy()
+            first = np.unique(np.stack([row, ids.astype(np.int64)]), axis=1, return_inverse=True)[1].ravel()
+            a, z = _chained(place, text, first, first_place)
+            of, at = pa.array(text[a]), pa.array(a)
+            out = [b.column(0).take(of), b.column(1).take(of), pa.array(place[a]), pa.array(place[z] + np.int32(ANCHOR)), x.field("mark").take(at), x.field("mark").take(pa.array(z)), *(x.field(k).take(at) for k in ("first_id", "first_row", "first_place"))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "row", "place", "after", "mark", "last_mark", "first_id", "first_row", "first_place"])
+
+    return held.mapInArrow(run, f"id {kind}, row long, place int, after int, mark long, last_mark long, first_id {kind}, first_row long, first_place int")
+
+
+def edge_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
+    """(id, row, place, after, words, begins, ends): the words around every chain and around its first place.
+
+    words: four bytes for each of REACH words before and after; begins, ends: offsets at which the words from place - REACH to place begin, and those
+    from after - 1 to after + REACH - 1 end.
+    """
+    own = chains.select("id", "row", "place", "after")
+    first = chains.select(F.col("first_id").alias("id"), F.col("first_row").alias("row"), F.col("first_place").alias("place"), (F.col("first_place") + F.col("after") - F.col("place")).alias("after"))
+    asked = own.union(first).groupBy("id", "row").agg(F.collect_set(F.struct("place", "after")).alias("asked"))  # places of one text
+    asked = common.materialize(asked, "asked")
+    found = _meet(_meet(rows, asked.select("id", "row"), "left_semi"), asked).select("id", "row", "text", "asked")
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(a, 1000) for x in batches for a in range(0, x.num_rows, 1000)):
-            texts = b.column(2).to_pylist()
-            spans: tuple[int, np.ndarray] = (-1, np.zeros(0))
-            left = {k: (x, y) for k, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)) if x}
-            for d, place, h1, h2 in windows(texts, b.column(3).to_pylist()):
-                start, stop = np.zeros((2, len(d)), np.int32)
-                for k in np.unique(d):
-                    if spans[0] != k:
-                        spans = k, np.array([m.span() for m in _WORD.finditer(texts[k])], np.int32)
-                        if k in left:  # a text with a chain has windows at its ends
-                            x, y = map(np.array, left.pop(k))
-                            at = pa.array(np.full(len(x), k))
-                            none = np.zeros(len(x), np.int64)
-                            yield _records([b.column(0).take(at), b.column(1).take(at), spans[1][x, 0], spans[1][y - 1, 1], x.astype(np.int32), y.astype(np.int32), np.full(len(x), COVER, np.int8), none, none])
-                    mine = d == k
-                    start[mine], stop[mine] = spans[1][place[mine], 0], spans[1][place[mine] + PASSAGE - 1, 1]
-                at = pa.array(d)
-                yield _records([b.column(0).take(at), b.column(1).take(at), start, stop, place.astype(np.int32), (place + PASSAGE).astype(np.int32), np.full(len(d), WINDOW, np.int8), h1, h2])
-
-    return found.mapInArrow(run, _TABLE_SQL)
-
-
-def _joined(start: np.ndarray, stop: np.ndarray, place: np.ndarray, after: np.ndarray, kind: np.ndarray, disjoint: bool) -> list[tuple[int, int, int]]:
-    """(start, stop, index) of a row's units that go and of its runs of windows that take more words than these; disjoint: merged."""
-    units_, w = np.flatnonzero(kind < WINDOW), np.flatnonzero(kind >= WINDOW)
-    out = list(zip(start[units_].tolist(), stop[units_].tolist(), units_.tolist(), strict=True))
-    if len(w):
-        covered = np.zeros(after.max(), bool)
-        for a, b in zip(place[units_].tolist(), after[units_].tolist(), strict=True):
-            covered[a:b] = True
-        until, end = np.maximum.accumulate(after[w]), np.maximum.accumulate(stop[w])
-        cut = np.flatnonzero(place[w[1:]] > until[:-1])
-        for a, b in zip(w[np.concatenate(([0], cut + 1))].tolist(), np.append(cut, len(w) - 1).tolist(), strict=True):
-            if not covered[place[a] : until[b]].all():
-                out.append((int(start[a]), int(end[b]), a))
-        out.sort()
-    if not disjoint:
-        return out
-    merged: list[tuple[int, int, int]] = []
-    for x in out:
-        if merged and x[0] < merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(merged[-1][1], x[1]), merged[-1][2])
-        else:
-            merged.append(x)
-    return merged
+        from xxhash import xxh3_64_intdigest as digest
+
+        for b in (x.slice(a, 500) for x in batches for a in range(0, x.num_rows, 500)):
+            out: list[list] = [[] for _ in range(6)]
+            for i, (text, asked) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                words = text.lower().split()
+                begins, ends = word_edges(text)
+                begins, ends = (np.pad(x, REACH, mode="edge").astype(np.int32) for x in (begins, ends))
+                hashes: dict[int, np.ndarray] = {}
+
+                def side(a: int) -> np.ndarray:
+                    if a not in hashes:  # noqa: B023
+                        h = np.zeros(REACH, np.uint64)
+                        z = min(a + REACH, len(words))  # noqa: B023
+                        for k in range(max(a, 0), z):
+                            h[k - a] = digest(words[k]) | 1  # noqa: B023
+                        hashes[a] = h.astype(np.uint32)  # noqa: B023
+                    return hashes[a]  # noqa: B023
+
+                for x in asked:
+                    place, after = x["place"], x["after"]
+                    edges = [side(place - REACH), side(after), begins[place : place + REACH + 1], ends[after - 1 + REACH : after + 2 * REACH]]
+                    for c, v in zip(out, (i, place, after, np.concatenate(edges[:2]).tobytes(), edges[2].tobytes(), edges[3].tobytes()), strict=True):
+                        c.append(v)
+            of = pa.array(out[0], pa.int64())
+            columns = [b.column(0).take(of), b.column(1).take(of), *(pa.array(c, t) for c, t in zip(out[1:], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "place", "after", "words", "begins", "ends"])
+
+    return found.mapInArrow(run, f"id {kind}, row long, place int, after int, words binary, begins binary, ends binary")
+
+
+def extended_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
+    """(id, row, place, after, mark, last_mark, before, behind, left, right, start, stop, words, first_id, first_start) of every chain.
+
+    before, behind: how many words beside it agree with those beside its first place; left, right: hashes of the words that follow them, 0 if REACH
+    agree or the text ends; start, stop, words: of the chain with the words that agree.
+    """
+    edges = common.materialize(edge_table(rows, chains).distinct(), "edges")  # copies of a row give the same
+    kind = rows.schema["id"].dataType.simpleString()
+    own = edges.select(F.col("id").alias("__id"), F.col("row").alias("__r"), F.struct("place", "after").alias("__at"), F.col("words").alias("w"), "begins", "ends")
+    first = edges.select(F.col("id").alias("__id"), F.col("row").alias("__r"), F.struct("place", "after").alias("__at"), F.col("words").alias("v"), F.col("begins").alias("first_begins"))
+    there = F.struct(F.col("first_place").alias("place"), (F.col("first_place") + F.col("after") - F.col("place")).alias("after"))
+    both = chains.withColumns({"at": F.struct("place", "after"), "first_at": there})
+    both = both.join(first.hint("merge"), F.col("first_id").eqNullSafe(F.col("__id")) & (F.col("first_row") == F.col("__r")) & (F.col("first_at") == F.col("__at")))
+    both = both.select("id", "row", "at", "mark", "last_mark", "first_id", "v", "first_begins")
+    both = both.join(own.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__r")) & (F.col("at") == F.col("__at")))
+    both = both.select("id", "row", "at.place", "at.after", "mark", "last_mark", "first_id", "w", "begins", "ends", "v", "first_begins")
+
+    def table(b: pa.RecordBatch, k: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(b.column(k).to_pylist()), kind).reshape(b.num_rows, -1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w, v = table(b, "w", np.uint32), table(b, "v", np.uint32)
+            differs = (w != v) | (w == 0)
+            # the words that agree without a gap, up to all REACH
+            before = np.where(differs[:, :REACH].any(axis=1), differs[:, REACH - 1 :: -1].argmax(axis=1), REACH)
+            behind = np.where(differs[:, REACH:].any(axis=1), differs[:, REACH:].argmax(axis=1), REACH)
+            words = b.column("after").to_numpy() - b.column("place").to_numpy() + before + behind
+            at = np.arange(len(w))
+            beside = np.pad(w.astype(np.int64), ((0, 0), (1, 1)))
+            left, right = (np.where(n < REACH, beside[at, k], 0) for n, k in ((before, REACH - before), (behind, 1 + REACH + behind)))
+            start, stop, first = (table(b, k, np.int32)[at, i] for k, i in (("begins", REACH - before), ("ends", behind), ("first_begins", REACH - before)))
+            numbers = [pa.array(x, t) for x, t in ((before, pa.int32()), (behind, pa.int32()), (left, pa.int64()), (right, pa.int64()), (start, pa.int32()), (stop, pa.int32()), (words, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *numbers, b.column("first_id"), pa.array(first, pa.int32())], names)
+
+    names = ["id", "row", "place", "after", "mark", "last_mark", "before", "behind", "left", "right", "start", "stop", "words", "first_id", "first_start"]
+    return both.mapInArrow(run, f"id {kind}, row long, place int, after int, mark long, last_mark long, before int, behind int, left long, right long, start int, stop int, words int, first_id {kind}, first_start int")
+
+
+def window_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, row, place, start, stop, h1, h2) of the windows of PASSAGE words that begin in a wanted range of places; wanted: (id, row, low, high), both inclusive."""
+    asked = common.materialize(wanted.groupBy("id", "row").agg(F.collect_set(F.struct("low", "high")).alias("asked")), "asked")  # places of one text
+    found = _meet(_meet(rows, asked.select("id", "row"), "left_semi"), asked).select("id", "row", "text", "asked")
+    kind = rows.schema["id"].dataType.simpleString()
 
-def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, row: Column | None = None, disjoint: bool = False) -> DataFrame:
-    """(id, row, start, stop, first_id, first_start) of every unit that repeats an earlier one; code-point offsets, end exclusive.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
 
-    row tells repeated ids apart; given, docs is a table that can be read again.  A passage has a row of its own, over the
-    whole run, unless its units' rows have all its words; so has a line that repeats.  Such rows may overlap, with disjoint they are merged.
+        for b in (x.slice(a, 500) for x in batches for a in range(0, x.num_rows, 500)):
+            of, places, starts, stops, digests = [], [], [], [], []
+            for i, (text, asked) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                words = text.lower().split()
+                begins, ends = word_edges(text)
+                for k in sorted({k for x in asked for k in range(max(x["low"], 0), min(x["high"], len(words) - PASSAGE) + 1)}):
+                    of.append(i)
+                    places.append(k)
+                    starts.append(begins[k])
+                    stops.append(ends[k + PASSAGE - 1])
+                    digests.append(xxh3_128_digest(" ".join(words[k : k + PASSAGE])))
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+            own = [b.column(k).take(pa.array(of, pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int32()) for x in (places, starts, stops)), *map(pa.array, h)], ["id", "row", "place", "start", "stop", "h1", "h2"])
+
+    return found.mapInArrow(run, f"id {kind}, row long, place int, start int, stop int, h1 long, h2 long")
+
+
+def passage_table(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """(id, row, start, stop, place, words, first_id, first_start) of chains and windows that go; again: repeated marks.
+
+    A window that stood earlier, but not at the first place of its mark, goes past an end of the mark's chain, and so it does where it stood earlier:
+    both chains end at the same mark, agree as far with its first place, and go on with the same word.  Windows past ends that have all
+    this in common are digested and grouped like lines.  A mark that stands less than PASSAGE words behind its first place in the same
+    text is in no chain; all windows with it, and all past ends with this mark, are digested.
+    """
+    beside = _same() & (F.col("start") < F.col("first.start") + PASSAGE)
+    chains = common.materialize(chain_table(again.where(~beside)), "chains")
+    near = again.where(beside & (F.col("start") > F.col("first.start"))).select("id", "row", F.col("h1").alias("end"), (F.col("start") - REACH).alias("low"), F.col("start").alias("high"))
+    near = common.materialize(near, "near")
+    found = common.materialize(extended_table(rows, chains), "extended")
+    columns = ["id", "row", "start", "stop", "place", "words", "first_id", "first_start"]
+    left = (F.lit(0).alias("side"), F.col("mark").alias("end"), F.col("before").alias("agree"), F.col("left").alias("next"), (F.col("place") - REACH).alias("low"), (F.col("place") - F.col("before") - 1).alias("high"))
+    right = (F.lit(1), F.col("last_mark"), F.col("behind"), F.col("right"), F.col("after") + F.col("behind") + 1 - PASSAGE, F.col("after") - ANCHOR)
+    ends = found.select("id", "row", *left).union(found.select("id", "row", *right)).where("next <> 0")
+    key = ["side", "end", "agree", "next"]
+    twice = common.materialize(ends.groupBy(*key).count().where("count > 1").drop("count"), "ends")
+    range_ = ["id", "row", "low", "high"]
+    wanted = ends.join(twice.hint("merge"), key).select(*range_).union(ends.join(near.select("end").distinct().hint("merge"), "end").select(*range_)).union(near.select(*range_))
+    w = common.materialize(window_table(rows, wanted).distinct(), "windows")
+    gone = repeated(w, ["h1", "h2"], "place", "start").where(~_same() | (F.col("place") >= F.col("first.place") + PASSAGE))
+    gone = gone.withColumns({"words": F.lit(PASSAGE), "first_id": F.col("first.id"), "first_start": F.col("first.start")})
+    found = found.where(F.col("words") >= PASSAGE).withColumn("place", F.col("place") - F.col("before"))
+    return found.select(*columns).union(gone.select(*columns))
+
+
+def _number() -> Column:
+    return F.monotonically_increasing_id()
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE, number: Column | None = None) -> DataFrame:
+    """(id, number, n_lines, n_passages, passage_words, spans) of every row.
+
+    n_lines, n_passages: units of either kind that go, passages that overlap as one; passage_words: the words of the longest of them; spans: what they cover, in order and
+    disjoint, as (start, stop, first_id, first_start) in code points, end exclusive, with where the earliest unit of each stood first.
+    number tells the rows apart; given, docs is a table that can be read again.
     """
     common.ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), (F.monotonically_increasing_id() if row is None else row).alias("row"), docs[text_col].cast("string").alias("text"))
-    if row is None:
-        rows = common.materialize(rows, "docs")
-    marked = common.materialize(unit_table(rows, min_words), "units")
-    found = common.materialize(window_table(rows, marked), "windows")
-    u = marked.where(F.col("kind") < WINDOW).unionByName(found.where(F.col("kind") == WINDOW))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start", "place")
-    first = u.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = common.materialize(first, "first")  # a table of its own: the join's shuffle of units can then be split where a digest is hot
-    again = (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
-    apart = (F.col("kind") != WINDOW) | (F.col("row") != F.col("first.row")) | (F.col("place") >= F.col("first.place") + PASSAGE)
-    later = u.join(first.hint("merge"), ["h1", "h2"]).where(again & apart)
-    x = F.struct("start", "stop", "place", "after", "kind", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
-    covers = found.where(F.col("kind") == COVER).withColumn("first", F.lit(None).cast("struct<id:long,start:int>"))
-    later = later.select("id", "row", x.alias("x")).union(covers.select("id", "row", x.alias("x")))
-    later = later.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list("x")).alias("later"))
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("row"), (_number() if number is None else number).alias("number"), text.alias("text"))
+    u = common.materialize(unit_table(rows, min_line), "units")
+    line = repeated(u.where(F.col("kind") == LINE), ["h1", "h2"], "start").where(~_same() | (F.col("start") != F.col("first.start")))
+    line = line.select("id", "row", "start", "stop", F.lit(0).alias("place"), F.lit(0).alias("words"), F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    mark = repeated(u.where(F.col("kind") == MARK).select("id", "row", "start", "h1"), ["h1"], "start")
+    gone = line.union(passage_table(rows.drop("number"), mark)).distinct()  # copies of a row have the same
+    x = F.struct("start", "stop", "place", "words", "first_id", "first_start")
+    gone = gone.groupBy("id", "row").agg(F.sort_array(F.collect_list(x)).alias("units"))
+    copies = u.where(F.col("kind") == TEXT).select("id", "row", F.col("h1").alias("number"), "start", "stop")
+    one = copies.groupBy("id", "row").agg(F.min("number").alias("one"))
+    held = _meet(_meet(copies, one), gone, "left").select("id", "number", "start", "stop", (F.col("number") != F.col("one")).alias("copy"), "units")
+    kind = rows.schema["id"].dataType.simpleString()
+    span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("first_id", rows.limit(0).toArrow().schema.field("id").type), ("first_start", pa.int32())])
+
+    def passages(units: list[dict]) -> list[int]:
+        """How many words each passage has."""
+        out, place, until = [], 0, -1
+        for u in units:
+            if u["words"]:
+                if u["place"] >= until:
+                    place = u["place"]
+                    out.append(0)
+                until = max(until, u["place"] + u["words"])
+                out[-1] = until - place
+        return out
+
+    def merged(units: list[dict]) -> list[dict]:
+        out: list[dict] = []
+        for u in units:
+            if out and u["start"] < out[-1]["stop"]:
+                out[-1]["stop"] = max(out[-1]["stop"], u["stop"])
+            else:
+                out.append({k: u[k] for k in ("start", "stop", "first_id", "first_start")})
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2)
-            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            x = lists.flatten()
-            fields = [x.field(k).to_numpy() for k in ("start", "stop", "place", "after", "kind")]
-            found = [(r, g[0], g[1], a + g[2]) for r, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) for g in _joined(*(f[a:z] for f in fields), disjoint)]
-            r, start, stop, at = np.array(found, np.int64).reshape(-1, 4).T
-            columns = [b.column(1).take(pa.array(r)), b.column(0).take(pa.array(r)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), x.field("first_id").take(pa.array(at)), x.field("first_start").take(pa.array(at))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "start", "stop", "first_id", "first_start"])
+            spans, n, words = [], [], []
+            for i, start, stop, copy, units in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+                units = units or []
+                long = passages(units)
+                n.append((sum(u["words"] == 0 for u in units), len(long)))
+                words.append(max(long, default=0))
+                if copy and start < stop:
+                    units = [{"start": start, "stop": stop, "first_id": i, "first_start": start}]
+                spans.append(merged(units))
+            counts = [pa.array([x[k] for x in n], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array(words, pa.int64()), pa.array(spans, pa.list_(span))], ["id", "number", "n_lines", "n_passages", "passage_words", "spans"])
+
+    spans = f"array<struct<start:int,stop:int,first_id:{kind},first_start:int>>"
+    return held.mapInArrow(run, f"id {kind}, number long, n_lines long, n_passages long, passage_words long, spans {spans}")
+
 
-    return later.mapInArrow(run, "id long, row long, start int, stop int, first_id long, first_start int")
+def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE) -> DataFrame:
+    """(id, start, stop, first_id, first_start) of every span that goes."""
+    return removals(docs, id_col, text_col, min_line).select("id", F.explode("spans").alias("x")).select("id", "x.*")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE) -> DataFrame:
     """docs with text less its repeated units, and `kept`: the (start, stop) offsets of what is left in the original."""
-    held = common.materialize(docs.drop("kept").withColumn("__row", F.monotonically_increasing_id()), "docs")
-    spans = removed_units(held, id_col, text_col, min_words, held["__row"], disjoint=True)
-    spans = spans.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__gone"))
+    held = common.materialize(docs.drop("kept").withColumn("__row", _number()), "docs")
+    spans = removals(held, id_col, text_col, min_line, held["__row"]).select(F.col("number").alias("__row"), F.col("spans").alias("__gone"))
     n = F.coalesce(F.length(text_col), F.lit(0))
-    gone = F.coalesce("__gone", F.array().cast("array<struct<start:int,stop:int>>"))
+    gone = F.transform("__gone", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
     edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), gone, F.array(F.struct(n.alias("start"), n.alias("stop"))))
     between = F.transform(F.sequence(F.lit(1), F.size("__edges") - 1), lambda i: F.struct(F.get("__edges", i - 1)["stop"].alias("start"), F.get("__edges", i)["start"].alias("stop")))
-    out = held.join(spans, "__row", "left").withColumn("__edges", edges).withColumn("kept", F.filter(between, lambda s: s["start"] < s["stop"]))
+    out = held.join(spans, "__row").withColumn("__edges", edges).withColumn("kept", F.filter(between, lambda s: s["start"] < s["stop"]))
     text = F.array_join(F.transform("kept", lambda s: F.substring(F.col(text_col), s["start"] + 1, s["stop"] - s["start"])), "")
     return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).select(*docs.drop("kept").columns, "kept")

@@ -62,9 +62,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per removed unit: its document and offsets, and where its first occurrence stands."""
-    gone = line_dedup.removed_units(_docs(spark, sf_dir))
-    return gone.select(F.col("id").alias("doc_id"), "start", "stop", F.col("first_id").alias("first_doc_id"), "first_start")
+    """A row for each document: how many of its lines and passages go, and the spans that they cover, with where they stood first."""
+    found = line_dedup.removals(_docs(spark, sf_dir))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"], F.coalesce(s["first_id"].cast("string"), F.lit("")), s["first_start"])), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_passages", "passage_words", spans.alias("removed"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
