@@ -188,8 +188,8 @@ def _chained(place: np.ndarray, text: np.ndarray, first: np.ndarray, first_place
 
 
 def chain_table(later: DataFrame) -> DataFrame:
-    """(id, row, place, after, mark, last_mark, first_id, first_row, first_place) of the chains of marks of each text; later: repeated marks that don't stand first."""
-    x = F.struct(F.col("start").alias("place"), F.col("h1").alias("mark"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_place"))
+    """(id, row, place, after, first_id, first_row, first_place) of the chains of marks of each text; later: repeated marks that don't stand first."""
+    x = F.struct(F.col("start").alias("place"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_place"))
     held = later.groupBy("id", "row").agg(F.array_sort(F.collect_set(x)).alias("marks"))  # of one text: no more than it has words
     kind = later.schema["id"].dataType.simpleString()
 
@@ -204,10 +204,10 @@ def chain_table(later: DataFrame) -> DataFrame:
             first = np.unique(np.stack([row, ids.astype(np.int64)]), axis=1, return_inverse=True)[1].ravel()
             a, z = _chained(place, text, first, first_place)
             of, at = pa.array(text[a]), pa.array(a)
-            out = [b.column(0).take(of), b.column(1).take(of), pa.array(place[a]), pa.array(place[z] + np.int32(ANCHOR)), x.field("mark").take(at), x.field("mark").take(pa.array(z)), *(x.field(k).take(at) for k in ("first_id", "first_row", "first_place"))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "row", "place", "after", "mark", "last_mark", "first_id", "first_row", "first_place"])
+            out = [b.column(0).take(of), b.column(1).take(of), pa.array(place[a]), pa.array(place[z] + np.int32(ANCHOR)), *(x.field(k).take(at) for k in ("first_id", "first_row", "first_place"))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "row", "place", "after", "first_id", "first_row", "first_place"])
 
-    return held.mapInArrow(run, f"id {kind}, row long, place int, after int, mark long, last_mark long, first_id {kind}, first_row long, first_place int")
+    return held.mapInArrow(run, f"id {kind}, row long, place int, after int, first_id {kind}, first_row long, first_place int")
 
 
 def edge_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def edge_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def extended_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
-    """(id, row, place, after, mark, last_mark, before, behind, left, right, start, stop, words, first_id, first_start) of every chain.
+    """(id, row, place, after, first_id, first_row, first_place, before, behind, left, right, start, stop, words, first_start) of every chain.
 
     before, behind: how many words beside it agree with those beside its first place; left, right: hashes of the words that follow them, 0 if REACH
     agree or the text ends; start, stop, words: of the chain with the words that agree.
@@ -268,9 +268,9 @@ def extended_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
     there = F.struct(F.col("first_place").alias("place"), (F.col("first_place") + F.col("after") - F.col("place")).alias("after"))
     both = chains.withColumns({"at": F.struct("place", "after"), "first_at": there})
     both = both.join(first.hint("merge"), F.col("first_id").eqNullSafe(F.col("__id")) & (F.col("first_row") == F.col("__r")) & (F.col("first_at") == F.col("__at")))
-    both = both.select("id", "row", "at", "mark", "last_mark", "first_id", "v", "first_begins")
+    both = both.select("id", "row", "at", "first_id", "first_row", "first_place", "v", "first_begins")
     both = both.join(own.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__r")) & (F.col("at") == F.col("__at")))
-    both = both.select("id", "row", "at.place", "at.after", "mark", "last_mark", "first_id", "w", "begins", "ends", "v", "first_begins")
+    both = both.select("id", "row", "at.place", "at.after", "first_id", "first_row", "first_place", "w", "begins", "ends", "v", "first_begins")
 
     def table(b: pa.RecordBatch, k: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(b.column(k).to_pylist()), kind).reshape(b.num_rows, -1)
@@ -290,10 +290,10 @@ def extended_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
             left, right = (np.where(n < REACH, beside[at, k], 0) for n, k in ((before, REACH - before), (behind, 1 + REACH + behind)))
             start, stop, first = (table(b, k, np.int32)[at, i] for k, i in (("begins", REACH - before), ("ends", behind), ("first_begins", REACH - before)))
             numbers = [pa.array(x, t) for x, t in ((before, pa.int32()), (behind, pa.int32()), (left, pa.int64()), (right, pa.int64()), (start, pa.int32()), (stop, pa.int32()), (words, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], *numbers, b.column("first_id"), pa.array(first, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], *numbers, pa.array(first, pa.int32())], names)
 
-    names = ["id", "row", "place", "after", "mark", "last_mark", "before", "behind", "left", "right", "start", "stop", "words", "first_id", "first_start"]
-    return both.mapInArrow(run, f"id {kind}, row long, place int, after int, mark long, last_mark long, before int, behind int, left long, right long, start int, stop int, words int, first_id {kind}, first_start int")
+    names = ["id", "row", "place", "after", "first_id", "first_row", "first_place", "before", "behind", "left", "right", "start", "stop", "words", "first_start"]
+    return both.mapInArrow(run, f"id {kind}, row long, place int, after int, first_id {kind}, first_row long, first_place int, before int, behind int, left long, right long, start int, stop int, words int, first_start int")
 
 
 def window_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -327,23 +327,28 @@ def passage_table(rows: DataFrame, again: DataFrame) -> DataFrame:
     """(id, row, start, stop, place, words, first_id, first_start) of chains and windows that go; again: repeated marks.
 
     A window that stood earlier, but not at the first place of its mark, goes past an end of the mark's chain, and so it does where it stood earlier:
-    both chains end at the same mark, agree as far with its first place, and go on with the same word.  Windows past ends that have all
-    this in common are digested and grouped like lines.  A mark that stands less than PASSAGE words behind its first place in the same
-    text is in no chain; all windows with it, and all past ends with this mark, are digested.
+    both chains agree with the same text up to the same word, and go on alike with another.  Windows past ends that have this in
+    common are digested and grouped like lines.  A mark that stands less than PASSAGE words behind its first place in the same text
+    is in no chain; all windows with it are digested, and those past the ends of all chains with this text.
     """
     beside = _same() & (F.col("start") < F.col("first.start") + PASSAGE)
     chains = common.materialize(chain_table(again.where(~beside)), "chains")
-    near = again.where(beside & (F.col("start") > F.col("first.start"))).select("id", "row", F.col("h1").alias("end"), (F.col("start") - REACH).alias("low"), F.col("start").alias("high"))
+    near = again.where(beside & (F.col("start") > F.col("first.start"))).select("id", "row", (F.col("start") - REACH).alias("low"), F.col("start").alias("high"))
     near = common.materialize(near, "near")
     found = common.materialize(extended_table(rows, chains), "extended")
     columns = ["id", "row", "start", "stop", "place", "words", "first_id", "first_start"]
-    left = (F.lit(0).alias("side"), F.col("mark").alias("end"), F.col("before").alias("agree"), F.col("left").alias("next"), (F.col("place") - REACH).alias("low"), (F.col("place") - F.col("before") - 1).alias("high"))
-    right = (F.lit(1), F.col("last_mark"), F.col("behind"), F.col("right"), F.col("after") + F.col("behind") + 1 - PASSAGE, F.col("after") - ANCHOR)
-    ends = found.select("id", "row", *left).union(found.select("id", "row", *right)).where("next <> 0")
-    key = ["side", "end", "agree", "next"]
-    twice = common.materialize(ends.groupBy(*key).count().where("count > 1").drop("count"), "ends")
+
+    def ends(side: int, word: str, until: Column, low: Column, high: Column) -> DataFrame:
+        there = until + F.col("first_place") - F.col("place")
+        end = F.xxhash64(F.lit(side), "first_id", "first_row", there, word)
+        return found.where(F.col(word) != 0).select("id", "row", end.alias("end"), F.xxhash64("first_id", "first_row").alias("text"), low.alias("low"), high.alias("high"))
+
+    start, stop = F.col("place") - F.col("before"), F.col("after") + F.col("behind")
+    past = ends(0, "left", start, F.col("place") - REACH, start - 1).union(ends(1, "right", stop, stop + 1 - PASSAGE, F.col("after") - ANCHOR))
+    twice = common.materialize(past.groupBy("end").count().where("count > 1").select("end"), "ends")
+    loops = near.select(F.xxhash64("id", "row").alias("text")).distinct()
     range_ = ["id", "row", "low", "high"]
-    wanted = ends.join(twice.hint("merge"), key).select(*range_).union(ends.join(near.select("end").distinct().hint("merge"), "end").select(*range_)).union(near.select(*range_))
+    wanted = past.join(twice.hint("merge"), "end").select(*range_).union(past.join(loops.hint("merge"), "text").select(*range_)).union(near.select(*range_))
     w = common.materialize(window_table(rows, wanted).distinct(), "windows")
     gone = repeated(w, ["h1", "h2"], "place", "start").where(~_same() | (F.col("place") >= F.col("first.place") + PASSAGE))
     gone = gone.withColumns({"words": F.lit(PASSAGE), "first_id": F.col("first.id"), "first_start": F.col("first.start")})
