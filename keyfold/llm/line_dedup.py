@@ -210,49 +210,63 @@ def chain_table(later: DataFrame) -> DataFrame:
     return held.mapInArrow(run, f"id {kind}, row long, place int, after int, first_id {kind}, first_row long, first_place int")
 
 
+def _texts(b: pa.RecordBatch, before: list) -> Iterator[tuple[int, str, list[str]]]:
+    """(index, text, words) of the batch's rows; copies of a row follow each other, and only the first counts; before holds the last row's id and hash."""
+    for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in ("id", "row")), strict=True)):
+        if before != [key]:
+            before[:] = [key]
+            text = b.column("text")[i].as_py()
+            yield i, text, text.lower().split()
+
+
 def edge_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
-    """(id, row, place, after, words, begins, ends): the words around every chain and around its first place.
+    """(own, id, row, place, after, first_id, first_row, first_place, words, begins, ends): the words around every chain (own) and around its first place.
 
     words: four bytes for each of REACH words before and after; begins, ends: offsets at which the words from place - REACH to place begin, and those
     from after - 1 to after + REACH - 1 end.
     """
-    own = chains.select("id", "row", "place", "after")
-    first = chains.select(F.col("first_id").alias("id"), F.col("first_row").alias("row"), F.col("first_place").alias("place"), (F.col("first_place") + F.col("after") - F.col("place")).alias("after"))
-    asked = own.union(first).groupBy("id", "row").agg(F.collect_set(F.struct("place", "after")).alias("asked"))  # places of one text
-    asked = common.materialize(asked, "asked")
-    found = _meet(_meet(rows, asked.select("id", "row"), "left_semi"), asked).select("id", "row", "text", "asked")
+    there = F.struct(F.col("first_place").alias("place"), (F.col("first_place") + F.col("after") - F.col("place")).alias("after"))
+    own = chains.select("id", "row", F.struct("place", "after", "first_id", "first_row", "first_place").alias("chain"))
+    first = chains.select(F.col("first_id").alias("id"), F.col("first_row").alias("row"), there.alias("first"))
+    asked = own.unionByName(first, allowMissingColumns=True).groupBy("id", "row").agg(F.collect_set("chain").alias("chains"), F.collect_set("first").alias("asked"))
+    asked = common.materialize(asked, "asked")  # each list: places of one text
+    found = _meet(_meet(rows, asked.select("id", "row"), "left_semi"), asked).select("id", "row", "text", "chains", "asked")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
 
+        def side(words: list[str], a: int, known: dict[int, bytes]) -> bytes:
+            if a not in known:
+                h = np.zeros(REACH, np.uint64)
+                for k in range(max(a, 0), min(a + REACH, len(words))):
+                    h[k - a] = digest(words[k]) | 1
+                known[a] = h.astype(np.uint32).tobytes()
+            return known[a]
+
+        last: list = []
         for b in (x.slice(a, 500) for x in batches for a in range(0, x.num_rows, 500)):
-            out: list[list] = [[] for _ in range(6)]
-            for i, (text, asked) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                words = text.lower().split()
-                begins, ends = word_edges(text)
-                begins, ends = (np.pad(x, REACH, mode="edge").astype(np.int32) for x in (begins, ends))
-                hashes: dict[int, np.ndarray] = {}
-
-                def side(a: int) -> np.ndarray:
-                    if a not in hashes:  # noqa: B023
-                        h = np.zeros(REACH, np.uint64)
-                        z = min(a + REACH, len(words))  # noqa: B023
-                        for k in range(max(a, 0), z):
-                            h[k - a] = digest(words[k]) | 1  # noqa: B023
-                        hashes[a] = h.astype(np.uint32)  # noqa: B023
-                    return hashes[a]  # noqa: B023
-
-                for x in asked:
-                    place, after = x["place"], x["after"]
-                    edges = [side(place - REACH), side(after), begins[place : place + REACH + 1], ends[after - 1 + REACH : after + 2 * REACH]]
-                    for c, v in zip(out, (i, place, after, np.concatenate(edges[:2]).tobytes(), edges[2].tobytes(), edges[3].tobytes()), strict=True):
+            out: list[list] = [[] for _ in range(10)]
+            chains, asked = (b.column(k).to_pylist() for k in ("chains", "asked"))
+            for i, text, words in _texts(b, last):
+                begins, ends = (np.pad(x, REACH, mode="edge").astype(np.int32) for x in word_edges(text))
+                known: dict[int, bytes] = {}
+                for x in [*chains[i], *asked[i]]:
+                    place, after, mine = x["place"], x["after"], "first_id" in x
+                    around = side(words, place - REACH, known) + side(words, after, known)
+                    stop = ends[after - 1 + REACH : after + 2 * REACH].tobytes() if mine else None
+                    values = (mine, i, place, after, x.get("first_id"), x.get("first_row"), x.get("first_place"), around, begins[place : place + REACH + 1].tobytes(), stop)
+                    for c, v in zip(out, values, strict=True):
                         c.append(v)
-            of = pa.array(out[0], pa.int64())
-            columns = [b.column(0).take(of), b.column(1).take(of), *(pa.array(c, t) for c, t in zip(out[1:], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "place", "after", "words", "begins", "ends"])
+            of = pa.array(out[1], pa.int64())
+            types = [pa.int32(), pa.int32(), b.schema.field("id").type, pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            columns = [pa.array(out[0], pa.bool_()), b.column(0).take(of), b.column(1).take(of), *(pa.array(c, t) for c, t in zip(out[2:], types, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["own", "id", "row", "place", "after", "first_id", "first_row", "first_place", "words", "begins", "ends"])
 
-    return found.mapInArrow(run, f"id {kind}, row long, place int, after int, words binary, begins binary, ends binary")
+    edges = found.mapInArrow(run, f"own boolean, id {kind}, row long, place int, after int, first_id {kind}, first_row long, first_place int, words binary, begins binary, ends binary")
+    edges = common.materialize(edges, "edges")
+    common.release(asked)
+    return edges
 
 
 def extended_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
@@ -261,16 +275,13 @@ def extended_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
     before, behind: how many words beside it agree with those beside its first place; left, right: hashes of the words that follow them, 0 if REACH
     agree or the text ends; start, stop, words: of the chain with the words that agree.
     """
-    edges = common.materialize(edge_table(rows, chains).distinct(), "edges")  # copies of a row give the same
+    edges = edge_table(rows, chains)
     kind = rows.schema["id"].dataType.simpleString()
-    own = edges.select(F.col("id").alias("__id"), F.col("row").alias("__r"), F.struct("place", "after").alias("__at"), F.col("words").alias("w"), "begins", "ends")
-    first = edges.select(F.col("id").alias("__id"), F.col("row").alias("__r"), F.struct("place", "after").alias("__at"), F.col("words").alias("v"), F.col("begins").alias("first_begins"))
+    first = edges.where(~F.col("own")).select(F.col("id").alias("__id"), F.col("row").alias("__r"), F.struct("place", "after").alias("__at"), F.col("words").alias("v"), F.col("begins").alias("first_begins"))
     there = F.struct(F.col("first_place").alias("place"), (F.col("first_place") + F.col("after") - F.col("place")).alias("after"))
-    both = chains.withColumns({"at": F.struct("place", "after"), "first_at": there})
-    both = both.join(first.hint("merge"), F.col("first_id").eqNullSafe(F.col("__id")) & (F.col("first_row") == F.col("__r")) & (F.col("first_at") == F.col("__at")))
-    both = both.select("id", "row", "at", "first_id", "first_row", "first_place", "v", "first_begins")
-    both = both.join(own.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__r")) & (F.col("at") == F.col("__at")))
-    both = both.select("id", "row", "at.place", "at.after", "first_id", "first_row", "first_place", "w", "begins", "ends", "v", "first_begins")
+    both = edges.where("own").withColumn("at", there)
+    both = both.join(first.hint("merge"), F.col("first_id").eqNullSafe(F.col("__id")) & (F.col("first_row") == F.col("__r")) & (F.col("at") == F.col("__at")))
+    both = both.select("id", "row", "place", "after", "first_id", "first_row", "first_place", F.col("words").alias("w"), "begins", "ends", "v", "first_begins")
 
     def table(b: pa.RecordBatch, k: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(b.column(k).to_pylist()), kind).reshape(b.num_rows, -1)
@@ -293,7 +304,10 @@ def extended_table(rows: DataFrame, chains: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:7], *numbers, pa.array(first, pa.int32())], names)
 
     names = ["id", "row", "place", "after", "first_id", "first_row", "first_place", "before", "behind", "left", "right", "start", "stop", "words", "first_start"]
-    return both.mapInArrow(run, f"id {kind}, row long, place int, after int, first_id {kind}, first_row long, first_place int, before int, behind int, left long, right long, start int, stop int, words int, first_start int")
+    out = both.mapInArrow(run, f"id {kind}, row long, place int, after int, first_id {kind}, first_row long, first_place int, before int, behind int, left long, right long, start int, stop int, words int, first_start int")
+    out = common.materialize(out, "extended")
+    common.release(edges)
+    return out
 
 
 def window_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -305,12 +319,13 @@ def window_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        last: list = []
         for b in (x.slice(a, 500) for x in batches for a in range(0, x.num_rows, 500)):
             of, places, starts, stops, digests = [], [], [], [], []
-            for i, (text, asked) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                words = text.lower().split()
+            asked = b.column("asked").to_pylist()
+            for i, text, words in _texts(b, last):
                 begins, ends = word_edges(text)
-                for k in sorted({k for x in asked for k in range(max(x["low"], 0), min(x["high"], len(words) - PASSAGE) + 1)}):
+                for k in sorted({k for x in asked[i] for k in range(max(x["low"], 0), min(x["high"], len(words) - PASSAGE) + 1)}):
                     of.append(i)
                     places.append(k)
                     starts.append(begins[k])
@@ -320,7 +335,9 @@ def window_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             own = [b.column(k).take(pa.array(of, pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int32()) for x in (places, starts, stops)), *map(pa.array, h)], ["id", "row", "place", "start", "stop", "h1", "h2"])
 
-    return found.mapInArrow(run, f"id {kind}, row long, place int, start int, stop int, h1 long, h2 long")
+    out = common.materialize(found.mapInArrow(run, f"id {kind}, row long, place int, start int, stop int, h1 long, h2 long"), "windows")
+    common.release(asked)
+    return out
 
 
 def passage_table(rows: DataFrame, again: DataFrame) -> DataFrame:
@@ -332,10 +349,13 @@ def passage_table(rows: DataFrame, again: DataFrame) -> DataFrame:
     is in no chain; all windows with it are digested, and those past the ends of all chains with this text.
     """
     beside = _same() & (F.col("start") < F.col("first.start") + PASSAGE)
+    again = common.materialize(again, "again")
     chains = common.materialize(chain_table(again.where(~beside)), "chains")
     near = again.where(beside & (F.col("start") > F.col("first.start"))).select("id", "row", (F.col("start") - REACH).alias("low"), F.col("start").alias("high"))
     near = common.materialize(near, "near")
-    found = common.materialize(extended_table(rows, chains), "extended")
+    common.release(again)
+    found = extended_table(rows, chains)
+    common.release(chains)
     columns = ["id", "row", "start", "stop", "place", "words", "first_id", "first_start"]
 
     def ends(side: int, word: str, until: Column, low: Column, high: Column) -> DataFrame:
@@ -346,10 +366,10 @@ def passage_table(rows: DataFrame, again: DataFrame) -> DataFrame:
     start, stop = F.col("place") - F.col("before"), F.col("after") + F.col("behind")
     past = ends(0, "left", start, F.col("place") - REACH, start - 1).union(ends(1, "right", stop, stop + 1 - PASSAGE, F.col("after") - ANCHOR))
     twice = common.materialize(past.groupBy("end").count().where("count > 1").select("end"), "ends")
-    loops = near.select(F.xxhash64("id", "row").alias("text")).distinct()
+    loops = common.materialize(near.select(F.xxhash64("id", "row").alias("text")).distinct(), "loops")
     range_ = ["id", "row", "low", "high"]
-    wanted = past.join(twice.hint("merge"), "end").select(*range_).union(past.join(loops.hint("merge"), "text").select(*range_)).union(near.select(*range_))
-    w = common.materialize(window_table(rows, wanted).distinct(), "windows")
+    wanted = past.join(common.small(twice), "end").select(*range_).union(past.join(common.small(loops), "text").select(*range_)).union(near.select(*range_))
+    w = window_table(rows, wanted)
     gone = repeated(w, ["h1", "h2"], "place", "start").where(~_same() | (F.col("place") >= F.col("first.place") + PASSAGE))
     gone = gone.withColumns({"words": F.lit(PASSAGE), "first_id": F.col("first.id"), "first_start": F.col("first.start")})
     found = found.where(F.col("words") >= PASSAGE).withColumn("place", F.col("place") - F.col("before"))
@@ -374,9 +394,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     line = repeated(u.where(F.col("kind") == LINE), ["h1", "h2"], "start").where(~_same() | (F.col("start") != F.col("first.start")))
     line = line.select("id", "row", "start", "stop", F.lit(0).alias("place"), F.lit(0).alias("words"), F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
     mark = repeated(u.where(F.col("kind") == MARK).select("id", "row", "start", "h1"), ["h1"], "start")
-    gone = line.union(passage_table(rows.drop("number"), mark)).distinct()  # copies of a row have the same
+    gone = line.union(passage_table(rows.drop("number"), mark))
     x = F.struct("start", "stop", "place", "words", "first_id", "first_start")
-    gone = gone.groupBy("id", "row").agg(F.sort_array(F.collect_list(x)).alias("units"))
+    gone = gone.groupBy("id", "row").agg(F.sort_array(F.collect_set(x)).alias("units"))  # copies of a row have the same
     copies = u.where(F.col("kind") == TEXT).select("id", "row", F.col("h1").alias("number"), "start", "stop")
     one = copies.groupBy("id", "row").agg(F.min("number").alias("one"))
     held = _meet(_meet(copies, one), gone, "left").select("id", "number", "start", "stop", (F.col("number") != F.col("one")).alias("copy"), "units")
