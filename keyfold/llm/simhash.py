@@ -7,8 +7,8 @@ the other bits is joined with itself: node pairs are walked together, the differ
 and a pair is left as soon as the sum exceeds the budget.  Pairs of nodes that lie in one component already are left
 too, so a dense group costs no quadratic output; a bucket yields a spanning forest.
 
-Null and empty texts have no shingle and fingerprint zero, which links like any other.  Rows with a null id take the
-class of their fingerprint.  Repeated rows give repeated rows; an empty table gives an empty result; other columns of
+Null and empty texts have no shingle and fingerprint zero, which links like any other.  Rows with a null id link like all others and
+take the class of their fingerprint; a class of such rows alone has no smallest id, and null for it.  Ids may be of any type with an order.  Repeated rows give repeated rows; an empty table gives an empty result; other columns of
 the input are ignored.
 """
 
@@ -145,14 +145,14 @@ def trie_join(bucket: np.ndarray, rest: np.ndarray, bits: int, budget: int = BUD
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed long."""
     common.ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def links(nodes: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET) -> DataFrame:
@@ -208,14 +208,20 @@ def links(nodes: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET) ->
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def classes(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(fp, class, first) of every distinct fingerprint: its component, as a fingerprint, and the smallest id of the component; prints: (id, fp)."""
+    nodes = common.materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
+    found = common.components(links(nodes.select("fp", F.col("fp").alias("rep")), budget))
+    of = common.materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("class")), "classes")
+    first = of.groupBy("class").agg(F.min("low").alias("first"))
+    return common.materialize(of.join(first, "class").select("fp", "class", "first"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = BUDGET) -> DataFrame:
     """(id, fingerprint, component_id) of every row; component_id: the smallest id reachable over links."""
     prints = common.materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = common.materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
-    found = common.components(links(nodes.where("rep is not null"), budget))
-    classes = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(classes, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = prints.join(classes(prints, budget), "fp")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = BUDGET) -> DataFrame:
@@ -225,14 +231,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows with a null id stay.  Text is shuffled only if the ids to drop are too many to broadcast, or an id repeats.
     """
     prints = common.materialize(fingerprints(docs, id_col, text_col, shingle).where("id is not null"), "simhash")
-    nodes = common.materialize(prints.select("fp", F.col("fp").alias("rep")).distinct(), "simhash-nodes")
-    found = common.components(links(nodes, budget))
-    classes = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("__class"))
-    classes = common.materialize(classes, "classes")
-    rows = common.materialize(prints.join(classes, "fp").select("id", "__class"), "classes")
-    first = common.materialize(rows.groupBy("__class").agg(F.min("id").alias("__first")), "first")
+    of = classes(prints, budget)
+    rows = common.materialize(prints.join(of, "fp").select("id", "first"), "classes")
     again = common.materialize(rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("gone")), "repeated")
-    drop = rows.join(first.hint("merge"), "__class").where("id <> __first").select(F.col("id").alias("gone")).distinct()
+    drop = rows.where("id <> first").select(F.col("id").alias("gone")).distinct()
     some = not again.isEmpty()
     drop = common.materialize(drop.union(again).distinct() if some else drop, "drop")
     left = docs.join(common.small(drop), docs[id_col] == drop["gone"], "left_anti")
@@ -240,6 +242,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         return left
     again = common.small(again)
     once = docs.join(again, docs[id_col] == again["gone"], "left_semi").withColumn("__key", F.xxhash64(id_col, text_col))
-    keys = common.materialize(fingerprints(once, "__key", text_col, shingle).distinct(), "keys").join(classes, "fp").join(first, "__class").select(F.col("id").alias("__key"), "__class", "__first")
+    keys = common.materialize(fingerprints(once, "__key", text_col, shingle).distinct(), "keys").join(of, "fp").select(F.col("id").alias("__key"), F.col("class").alias("__class"), F.col("first").alias("__first"))
     once = once.join(keys, "__key").where(F.col(id_col) == F.col("__first")).dropDuplicates(["__class"]).select(*docs.columns)
     return left.unionByName(once)

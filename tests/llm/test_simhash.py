@@ -112,3 +112,19 @@ def test_keep_one_decides_each_row_of_an_id_that_repeats(spark):
     kept = simhash.keep_one(table(spark, rows))
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(0, a), (1, b), (2, c), (2, d), (None, a), (None, a)], key=str)
     assert kept.columns == table(spark, []).columns
+
+
+def test_rows_without_an_id_link_others(spark):
+    prints = [(1, 0x00), (None, 0x0F), (2, 0xFF), (7, 1 << 40), (None, 0xFFFF << 48)]
+    rows = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints], "id long, fp long")
+    got = {r["fp"] % (1 << 64): r["first"] for r in simhash.classes(rows).collect()}
+    root = classes([p for _, p in prints])
+    assert got == {p: min((i for (i, _), s in zip(prints, root, strict=True) if s == r and i is not None), default=None) for (_, p), r in zip(prints, root, strict=True)}
+    assert got[0] == got[0x0F] == got[0xFF] == 1 and got[0xFFFF << 48] is None
+
+
+def test_ids_of_text(spark):
+    rows = [("b", "a b c d e f"), ("a", "a b c d e f"), ("c", "quite other words stand here now"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["component_id"]) for r in simhash.near_duplicates(docs).collect() if r["doc_id"]) == [("a", "a"), ("b", "a"), ("c", "c")]
+    assert sorted(r["doc_id"] or "" for r in simhash.keep_one(docs).collect()) == ["", "a", "c"]
