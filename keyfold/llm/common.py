@@ -47,9 +47,14 @@ def _remove_all() -> None:
 BROADCAST_ROWS = 1 << 18
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether df has at most BROADCAST_ROWS rows."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most BROADCAST_ROWS rows; beyond, joins with it shuffle, and adaptive execution splits hot keys."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+    """df, to be broadcast if it fits; beyond, joins with it shuffle, and adaptive execution splits hot keys."""
+    return F.broadcast(df) if fits(df) else df.hint("merge")
 
 
 def lowest(df: DataFrame, h: Column, k: int, rows: int) -> DataFrame:

@@ -7,12 +7,12 @@ first, shorter one.  What the packing depends on is only how many pieces there a
 2. The counts by length go to the driver.  Bin by bin, the longest length left is laid and a bitset subset-sum over the
    other lengths left finds the fullest feasible combination.  That combination is laid as many times as all its lengths
    allow, and so removed; each run of bins is a few slots (length, ranks, first sequence, offset).
-3. Ranks within a task become ranks in the corpus by running sums over (task, length) counts, and the slots, searched by
-   length and rank, give each piece its sequence and offset.
+3. Ranks within a task become ranks in the corpus by running sums over (task, length) counts, which a shuffled join brings to the pieces (some
+   tens of bytes each), and the slots, searched by length and rank, give each piece its sequence and offset.
 
 The slots' number depends on the lengths, not on the documents; pieces of a frequent length stay spread over the tasks.
 
-Null and empty texts are a document of just the end id.  Ids may be null or repeat; every row is packed.  An empty table
+Null and empty texts are a document of just the end id.  Ids may be null, repeat and be of any type; every row is packed.  An empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -46,6 +46,19 @@ def encoder(tokenizer: str):
     return lambda text: coder.encode_to_numpy(text, allowed_special=every)
 
 
+#: What both libraries must agree on before any text is encoded: contractions, numbers, accents, symbols, white space, special strings.
+PROBE = "It's we'll 12345 3.14 naïve ÉCOLE Straße 漢字かな \U0001f600 ²½Ⅷ ٣ \u0301x \u200b<|endoftext|> <s></s> a  b\n\n c\t\r\n  \x0b\x1c\x85\u3000 <|im_start|>don't 'S _x_ --- ...!?"
+
+
+def check(tokenizer: str) -> None:
+    """An error if encoder() gives other ids than the tokenizers library for the same file: another pattern, normalizer or merge order."""
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_str(tokenizer).encode(PROBE, add_special_tokens=False).ids
+    if encoder(tokenizer)(PROBE).tolist() != want:
+        raise ValueError("the tokenizer file asks for another encoding than byte-level pair merging with the usual pattern")
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids."""
     head = n % capacity
@@ -113,8 +126,10 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer
     """(id, piece, start, length, ids_crc32, part, rank): one row for each piece."""
     spark = docs.sparkSession
     common.ship(spark)
-    model = spark.sparkContext.broadcast(common.tokenizer_json(tokenizer_path))  # the file's size, whatever the input
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    file = common.tokenizer_json(tokenizer_path)
+    check(file)
+    model = spark.sparkContext.broadcast(file)  # the file's size, whatever the input
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -129,10 +144,10 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer
                     out.append((i, k, start, n, zlib.crc32(ids[start : start + n].tobytes()), part, int(seen[n])))
                     seen[n] += 1
             cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
@@ -143,7 +158,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     slots, _ = minimum_slack(total, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = made.join(common.small(ranks), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
+    ranked = made.join(ranks.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
     table = docs.sparkSession.sparkContext.broadcast(slots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,5 +169,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             at = np.searchsorted(order, length << 44 | rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(s[at, 3] + rank - s[at, 1]), pa.array(s[at, 4])], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    out = ranked.mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kind = made.schema["id"].dataType.simpleString()
+    out = ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@
 5. The words around the rarest anchor confirm the phrase exactly, or for proximity() how far the other anchor is.
 
 Only the benchmark's terms and windows are broadcast, and only up to common.BROADCAST_ROWS of them; beyond, the same joins run
-by shuffle.  Groups are one document's alignment with one item, so no term's list is ever gathered.
+by shuffle, of occurrences that pass a bitmap of the terms' hashes (FILTER bits).  Groups are one document's alignment with one item, so no term's list is ever gathered.
 
 Rows are known by two hashes of id and text: repeated rows get equal results, null ids are allowed.  Null and empty
 texts have no words, are never hit and, as items, have no windows; items without an id are left out; repeated items count once.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from keyfold.llm import common
 
 WINDOW = 10
+#: Bits of the bitmap that holds back other words where the terms are too many to broadcast.
+FILTER = 1 << 22
 
 
 def lower_ascii(text: Column) -> Column:
@@ -51,21 +53,38 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
 
 
+def _maybe(terms: DataFrame, term: Column) -> Column:
+    """Whether term may be among terms (term): false for most others, by one bit for each hash."""
+
+    def at(t: Column) -> Column:
+        return F.pmod(F.xxhash64(t), F.lit(FILTER))
+
+    bits = terms.select(F.shiftright(at(F.col("term")), 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at(F.col("term")), F.lit(64)).cast("int")).alias("b"))
+    bits = bits.groupBy("i").agg(F.bit_or("b").alias("b"))
+    every = terms.sparkSession.range(FILTER // 64).join(bits.hint("merge"), F.col("id") == F.col("i"), "left")
+    table = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")))).alias("t")).select(F.transform("t", lambda x: x["b"]).alias("t"))
+    return F.getbit(F.get(table.scalar(), F.shiftright(at(term), 6).cast("int")), F.pmod(at(term), F.lit(64)).cast("int")) == 1
+
+
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(term, n): how often each item term occurs in the corpus; docs: from _keyed, items: from item_words."""
     vocabulary = common.materialize(items.select(F.explode("words").alias("term")).distinct(), "terms")
-    return docs.select(F.explode("words").alias("term")).join(common.small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode("words").alias("term"))
+    if common.fits(vocabulary):
+        return words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = words.where(_maybe(vocabulary, F.col("term"))).groupBy("term").agg(F.count("*").alias("n"))
+    return counts.join(vocabulary.hint("merge"), "term")
 
 
-def windows(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, item_id, start, phrase, a1, t1, a2, t2): windows whose terms all occur, with their two rarest terms and places."""
+def windows(items: DataFrame, counts: DataFrame, window: int = WINDOW, least: int | None = None) -> DataFrame:
+    """(item, item_id, start, phrase, a1, t1, a2, t2): windows of which all terms occur, or as many as least, with the two rarest that do and their places."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
     w = items.select("item", "item_id", "words", F.explode(starts).alias("start"))
     w = w.select("item", "item_id", "start", F.slice("words", F.col("start") + 1, window).alias("phrase"))
     terms = w.select("item", "start", F.posexplode("phrase").alias("at", "term")).join(counts, "term")
     ranked = F.array_sort(F.collect_list(F.struct("n", "term", (F.col("start") + F.col("at")).alias("place"))))
     terms = terms.groupBy("item", "start").agg(ranked.alias("r"))
-    both = w.join(terms, ["item", "start"]).where(F.size("r") == F.size("phrase"))
+    both = w.join(terms, ["item", "start"]).where(F.size("r") >= (F.size("phrase") if least is None else least))
     second = F.when(F.size("r") > 1, F.element_at("r", 2)).otherwise(F.element_at("r", 1))
     r1 = F.element_at("r", 1)
     return both.select("item", "item_id", "start", "phrase", r1["place"].alias("a1"), r1["term"].alias("t1"), second["place"].alias("a2"), second["term"].alias("t2"))
@@ -73,14 +92,20 @@ def windows(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
 
 def build_index(docs: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
     """The stored postings (term, k1, k2, pos, around); anchors: (term, first); around: up to reach words on either side, for first terms."""
-    posted = docs.select("k1", "k2", "words", F.posexplode("words").alias("pos", "term")).join(common.small(anchors), "term")
-    around = F.when(F.col("first"), F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1))
-    return common.materialize(posted.select("term", "k1", "k2", "pos", around.alias("around")), "postings")
-
-
-def _search(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    posted = docs.select("k1", "k2", "words", F.posexplode("words").alias("pos", "term"))
+    around = F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1)
+    columns = ["term", "k1", "k2", "pos"]
+    if common.fits(anchors):
+        posted = posted.join(F.broadcast(anchors), "term").select(*columns, F.when(F.col("first"), around).alias("around"))
+    else:  # what is shuffled has the words around, not the text's
+        posted = posted.where(_maybe(anchors, F.col("term"))).select(*columns, around.alias("around"))
+        posted = posted.join(anchors.hint("merge"), "term").select(*columns, F.when(F.col("first"), F.col("around")).alias("around"))
+    return common.materialize(posted, "postings")
+
+
+def _search(docs: DataFrame, items: DataFrame, window: int, least: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(windows, postings) of the benchmark's items."""
-    w = common.materialize(windows(items, term_counts(docs, items), window), "windows")
+    w = common.materialize(windows(items, term_counts(docs, items), window, least), "windows")
     anchors = w.select(F.col("t1").alias("term"), F.lit(True).alias("first")).union(w.select("t2", F.lit(False)))
     anchors = common.materialize(anchors.groupBy("term").agg(F.max("first").alias("first")), "anchors")
     return w, build_index(docs, anchors, window - 1)
@@ -104,12 +129,12 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
 
 
 def proximity(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, item_id, start, apart): places where a window's two rarest terms stand within `window` words of each other, in any order.
+    """(id, item_id, start, apart): places where the two rarest terms that occur of a window stand within `window` words of each other, in any order.
 
     id is null for rows with a null id; apart: their distance in the document.
     """
     rows = _keyed(docs, doc_id, doc_text)
-    w, postings = _search(rows, item_words(items, item_id, item_text), window)
+    w, postings = _search(rows, item_words(items, item_id, item_text), window, 2)
     pairs = w.select("item_id", "t1", "t2").distinct()
     near = postings.where("around is not null").join(common.small(pairs), F.col("term") == F.col("t1")).select("k1", "k2", "item_id", "pos", "t1", "t2", F.posexplode("around").alias("at", "other"))
     apart = F.col("at") - F.least(F.col("pos"), F.lit(window - 1))

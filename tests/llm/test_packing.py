@@ -64,3 +64,20 @@ def test_pack(spark):
         assert s.offset.tolist() == [0, *ends[:-1]] and ends[-1] <= 2048
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
     assert packing.pack(table(spark, [])).count() == 0
+
+
+def test_a_file_of_another_kind_is_refused():
+    import json
+
+    import pytest
+
+    packing.check(common.tokenizer_json())
+    model = json.loads(common.tokenizer_json())
+    for part, other in (("pre_tokenizer", {"type": "Whitespace"}), ("normalizer", {"type": "Lowercase"})):
+        with pytest.raises(ValueError):
+            packing.check(json.dumps(model | {part: other}))
+
+
+def test_ids_of_text(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", None), (None, "z")], "doc_id string, text string")
+    assert sorted(r["doc_id"] or "" for r in packing.pack(docs).collect()) == ["", "a", "b"]

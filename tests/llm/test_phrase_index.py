@@ -71,3 +71,32 @@ def test_proximity_and_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in phrase_index.decontaminate(docs, none).collect()] == [False, False]
     assert phrase_index.decontaminate(table(spark, []), items).count() == 0
+
+
+def test_no_text_is_shuffled_where_terms_are_too_many_to_broadcast(spark, monkeypatch):
+    import contextlib
+    import io
+
+    docs, items = cases()
+    plans, keep = {}, common.materialize
+
+    def kept(df, what):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        plans[what] = out.getvalue()
+        return keep(df, what)
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "materialize", kept)
+    rows = phrase_index._keyed(table(spark, docs[:20]), "doc_id", "text")
+    phrase_index.phrase_hits(rows, phrase_index.item_words(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")).count()
+    moved = [line for at, line in re.findall(r"\) (\w+)\nInput [^\n]*?: (\[[^\n]*\])", plans["postings"]) if at == "Exchange"]
+    assert any("around#" in m for m in moved) and not any("words#" in m for m in moved)
+
+
+def test_proximity_needs_not_all_words(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota absent"), (2, "lone absent words")], "item_id long, text string")
+    docs = table(spark, [(1, "x beta q alpha y"), (2, "lone " + "z " * 30)])
+    near = phrase_index.proximity(docs, items).collect()
+    assert {(r["id"], r["item_id"], r["apart"]) for r in near} == {(1, 1, 2)}
