@@ -6,7 +6,7 @@ import atexit
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.functions import shared
@@ -67,6 +67,16 @@ def lowest(df: DataFrame, h: Column, k: int, rows: int) -> DataFrame:
     return cut.withColumn("__place", place).withColumn("__h", h).orderBy("__place", "__h").limit(k).drop("__place", "__h")
 
 
+def sample(df: DataFrame, k: int, text: str, stretch: int) -> list[Row]:
+    """At most k of df's distinct rows, those with the lowest hashes, less all of column text but `stretch` characters from a place that the hash chooses."""
+    h = F.xxhash64(*df.columns)
+    hashes = df.select(h.alias("__key")).distinct()
+    low = lowest(hashes, F.col("__key"), k, hashes.count())
+    start = F.pmod(F.col("__key"), F.greatest(F.length(text) - stretch, F.lit(0)) + 1).cast("int")
+    rows = df.withColumn("__key", h).join(F.broadcast(low), "__key").withColumn(text, F.substring(F.col(text), start + 1, F.lit(stretch)))
+    return rows.groupBy("__key").agg(*(F.min(c).alias(c) for c in df.columns)).drop("__key").collect()
+
+
 def tokenizer_json(path: str | None = None) -> str:
     """The byte-level BPE file's text; path: a place that the driver can read."""
     if path is None:
@@ -76,7 +86,7 @@ def tokenizer_json(path: str | None = None) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def remainder(doc_id: str, modulus: int):
+def remainder(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 

@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes are cut into segments; in each, one gated recurrent layer reads forwards and one backwards, and the two states
 at a byte give that byte's language probabilities.  A document's probabilities are the mean over all its bytes.  Training is
-backpropagation through time with Adam in numpy, on segments drawn evenly from the languages of a bounded sample (`sample` rows,
-lowest hashes first) of the labelled rows; every row is labelled, whole.
+backpropagation through time with Adam in numpy, on segments drawn evenly from the languages of a bounded sample (`sample`
+distinct texts, lowest hashes first, of each a stretch of `stretch` characters) of the labelled rows; every row is labelled, whole.
 
 Texts that are null or have no letter are `und` with score 0; so is everything if no labelled row has a letter.  Ids may be null or
 repeat; an empty table gives an empty result; other columns are ignored.
@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from keyfold.llm import common
 
 SAMPLE = 3_000
+#: Characters of a sampled text that are trained on, from a place that its hash chooses.
+STRETCH = 8_000
 UNKNOWN = "und"
+#: What may be a letter: also fractions, superscripts and Roman numerals, which isalpha() tells apart.
 LETTER = re.compile(r"[^\W\d_]")
 f32 = np.float32
 
@@ -39,7 +42,7 @@ class Settings:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    return bool(text) and any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
 class Direction:
@@ -219,12 +222,10 @@ def train(rows: list[tuple[str, str]], settings: Settings | None = None) -> Netw
     return net
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, settings: Settings | None = None) -> Network:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, stretch: int = STRETCH, settings: Settings | None = None) -> Network:
     """A network from a bounded sample of the rows of labelled: the documents, less what must not be learnt from."""
-    some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = F.broadcast(common.lowest(some.select(F.col(id_col).alias("i"), F.xxhash64(id_col, text_col).alias("h")), F.col("h"), sample, some.count()).distinct())  # at most `sample` rows
-    rows = some.join(ids, (F.col(id_col).eqNullSafe(ids["i"])) & (F.xxhash64(id_col, text_col) == ids["h"])).select(text_col, lang_col).limit(2 * sample).collect()
-    return train([(t, g) for t, g in rows if has_letter(t)], settings)
+    some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    return train([(r["text"], r["lang"]) for r in common.sample(some, sample, "text", stretch) if has_letter(r["text"])], settings)
 
 
 def label(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """A row without an id is not held out."""
+    return F.coalesce(common.remainder("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_docs(spark, sf_dir), limit=512)
 
@@ -28,7 +33,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(_docs(spark, sf_dir), toxicity_model(spark, sf_dir))
-    held_out = (common.remainder("doc_id", 3) == 1).alias("held_out")
+    held_out = _held_out(3, 1)
     return found.select("doc_id", held_out, "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("matches").alias("n_matches"))
 
 
@@ -40,7 +45,7 @@ def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     found = maxent_lm.score(docs, common.remainder("doc_id", 7) != 2)
-    held_out = (common.remainder("doc_id", 7) == 2).alias("held_out")
+    held_out = _held_out(7, 2)
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -58,7 +63,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     net = language_id.learn(docs.where(common.remainder("doc_id", 4) != 2))
     found = language_id.label(docs, net)
-    return found.select("doc_id", (common.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     digest = F.sha2(joined("base").cast("binary"), 256)
-    return found.select("doc_id", *map(count, pii.KINDS[:4]), digest.alias("base_sha256"), joined("spans").alias("spans"))
+    secret = F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), digest.alias("base_sha256"), joined("spans").alias("spans"), secret, F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,8 +5,9 @@ together, all else separates words; invisible characters vanish.  A lexicon entr
 in a space is a whole word.  Overlapping matches count once, the longest first; matches inside an exception phrase do not
 count.  The score is a logistic function of the matched weight and of its density per word.
 
-learn() starts from a seed lexicon and adds word stems that a bounded sample of labelled rows (`sample` rows of each label, lowest hashes first)
-shows to go with the label: significant by likelihood ratio, no longer than needed, no shorter than is as frequent.
+learn() starts from a seed lexicon and adds words and word stems (of 3 to 12 letters) that a bounded sample of labelled ids (`sample` ids of each label, lowest hashes
+first) shows to go with the label: significant by likelihood ratio, no longer than needed, no shorter than is as frequent.  An id with both
+labels teaches nothing; of several texts of one id, that with the lowest hash is learnt from.
 
 Null and empty texts match nothing and get the score of weight 0.  Without labelled rows of both kinds the seed and default
 coefficients are used.  Ids may be null or repeat: every row is scored.  An empty table gives an empty result; other columns are
@@ -24,13 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm import common
 
 SAMPLE = 4_000
-STEMS = 4_000
 LEAST_WEIGHT = 1.5
 #: Insults that start the lexicon, and phrases that excuse a match inside them.
 SEED = "idiot moron stupid trash worthless pathetic disgusting scum loser clown imbecile dumbass bastard bitch asshole fucker fucking shithead retard vermin".split()
@@ -129,24 +129,29 @@ def seed_model() -> Model:
     return Model({f" {w} ": 4.0 for w in SEED})
 
 
-def stems(text: str, most: int = 20) -> Counter[str]:
-    """What may become an entry, with its occurrences (`most` at most): the beginnings, 3 to 12 letters long, of the folded words, and the words."""
+def stems(text: str) -> dict[str, float]:
+    """What may become an entry, with its damped number of occurrences: the beginnings, 3 to 12 letters long, of the folded words, and the words."""
     out: Counter[str] = Counter()
     for w, n in Counter(fold(text).split()).items():
         for k in range(3, min(len(w), 12) + 1):
             out[" " + w[:k]] += n
-        if 3 <= len(w) <= 20:
+        if len(w) >= 3:
             out[f" {w} "] += n
-    return Counter({k: min(n, most) for k, n in out.items()})
+    return {k: 1 + math.log(n) for k, n in out.items()}
 
 
-def choose(rows: Iterable[tuple[str, int, int, int, int]], positive: int, negative: int, candidates: int) -> dict[str, float]:
-    """Entries and weights from (stem, documents with label 1, with label 0, occurrences in the former, in the latter).
+def least_gain(candidates: int) -> float:
+    """What the likelihood ratio test must reach where so many stems are tried."""
+    return 2 * math.log(max(candidates, 2)) + 6
+
+
+def choose(rows: Iterable[tuple[str, int, int, float, float]], positive: int, negative: int, candidates: int) -> dict[str, float]:
+    """Entries and weights from (stem, documents with label 1, with label 0, damped occurrences in the former, in the latter).
 
     A weight is the logarithm of the ratio of occurrences per document; whether a stem goes with the label is tested by documents.
     """
     seen = {s: x for s, *x in rows}
-    least = 2 * math.log(max(candidates, 2)) + 6
+    least = least_gain(candidates)
     prior = positive / (positive + negative)
 
     def gain(p: int, n: int) -> float:
@@ -191,32 +196,42 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from labels (id, toxic); the sample's ids, its best stems and its weights are what reaches the driver."""
     common.ship(docs.sparkSession)
     model = seed_model()
-    known = labels.select(F.col("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").dropDuplicates(["id"])
+    known = labels.select(F.col("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
+    known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     taken = [common.lowest(known.where(F.col("toxic") == t), F.xxhash64("id"), sample, of.get(t, 0)) for t in (0, 1)]
     some = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(taken[0].union(taken[1])), "id")
-    some = common.materialize(some.select("id", "text", "toxic"), "toxic-sample")
+    some = some.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("toxic").alias("toxic"))  # one row for each id, 2 * sample at most
+    some = common.materialize(some, "toxic-sample")
     n = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return model
     prior = of[1] / (of[0] + of[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, times = (Counter(), Counter()), (Counter(), Counter())
+        found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        times: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for b in batches:
             for t, y in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 s = stems(t.as_py() or "")
                 found[y].update(s.keys())
                 times[y].update(s)
         both = list(found[0].keys() | found[1].keys())
-        cols = [found[1], found[0], times[1], times[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([c[s] for s in both], pa.int64()) for c in cols)], ["stem", "p", "n", "po", "no"])
+        cols = [(found[1], pa.int64()), (found[0], pa.int64()), (times[1], pa.float64()), (times[0], pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([c[s] for s in both], t) for c, t in cols)], ["stem", "p", "n", "po", "no"])
 
-    counts = some.mapInArrow(count, "stem string, p long, n long, po long, no long").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("p", "n", "po", "no")))
+    counts = some.mapInArrow(count, "stem string, p long, n long, po double, no double").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("p", "n", "po", "no")))
     counts = common.materialize(counts, "stems")
     rate = (F.col("po") + 0.5) / n[1] >= math.exp(LEAST_WEIGHT) * (F.col("no") + 0.5) / n[0]
-    best = counts.where(rate).orderBy(F.desc("p"), "n", "stem").limit(STEMS).collect()
-    for stem, w in choose(map(tuple, best), n[1], n[0], counts.count()).items():
+    prior_, total, candidates = n[1] / (n[0] + n[1]), n[0] + n[1], counts.count()
+
+    def part(x: Column, y: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / y)).otherwise(0.0)
+
+    p, t = F.col("p"), F.col("p") + F.col("n")
+    gain = 2 * (part(p, t * prior_) + part(F.col("n"), t * (1 - prior_)) + part(n[1] - p, (total - t) * prior_) + part(n[0] - F.col("n"), (total - t) * (1 - prior_)))
+    best = counts.where(rate & (gain >= 0.99 * least_gain(candidates))).collect()  # significant ones alone: hundreds of the stems of 2 * sample texts
+    for stem, w in choose(sorted(map(tuple, best)), n[1], n[0], candidates).items():
         model.entries[stem] = w
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

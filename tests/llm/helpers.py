@@ -23,5 +23,6 @@ def awkward(seed: int = 1) -> list[tuple]:
     rows: list[tuple] = [(i, t) for i, t in enumerate(texts)]
     rows += [(20, None), (21, ""), (22, "  \n\t "), (23, "x"), (24, "É à ß 漢字 \U0001f600"), (25, texts[0]), (26, texts[0])]
     rows += [(None, texts[1]), (None, None), (27, sentence(rng, 30000)), (28, "a" * 200_000), (3, texts[3]), (3, texts[3])]
+    rows += [(32, "." * 200_000), (33, "AKIA" * 50_000), (34, "-1" * 100_000 + " x" + "!?" * 100_000)]
     rows += [(30, "one\x0btwo\x0cthree\rfour five six"), (31, "\0nul \x1f bytes")]
     return rows

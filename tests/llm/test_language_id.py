@@ -69,3 +69,36 @@ def test_sample_is_reached_where_few_rows_are_labelled(spark, monkeypatch):
     monkeypatch.setattr(li, "train", lambda rows, settings: got.extend(rows))
     li.learn(docs, sample=50)
     assert len(got) == 50
+
+
+def test_letters():
+    assert not any(li.has_letter(t) for t in (None, "", "½", "²³", "Ⅷ ①", "12_3", "漢"[:0], "٣", "😀", "½" * 50_000))
+    assert all(li.has_letter(t) for t in ("a", "½x", "é", "漢", "ª", "ß²"))
+
+
+def test_pooling_is_the_mean_over_all_bytes(spark):
+    """One text at a time, one segment at a time, against the operator's batches."""
+    net = li.learn(table(spark, rows(1, 60)), settings=li.Settings(steps=30, batch=32, segment=16))
+    texts = [text(random.Random(k), g, n) for k, (g, n) in enumerate([("aa", 1), ("bb", 7), ("cc", 90), ("aa", 400)])] + ["x" * 16, "\0ab", "é" * 31]
+    names, scores = net.document(texts, rows=5)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        raw = t.encode().replace(b"\0", b" ")
+        p = []
+        for a in range(0, len(raw), 16):
+            part = np.frombuffer(raw[a : a + 16].ljust(16, b"\0"), np.uint8).astype(np.intp)
+            p += list(net.positions(part[:, None])[: len(raw[a : a + 16]), 0].astype(float))
+        mean = np.mean(p, axis=0)
+        assert name == net.languages[int(mean.argmax())] and abs(score - mean.max()) < 1e-5
+
+
+def test_query(spark, tmp_path):
+    import zlib
+
+    from keyfold.llm import queries
+
+    docs = [*rows(1, 80), (500, None, "aa"), (501, "12 ½", None), (None, "ka lo", None)]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) and {r["doc_id"]: r["lang_pred"] for r in got}[501] == "und"
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1

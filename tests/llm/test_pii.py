@@ -124,3 +124,95 @@ def test_sample_is_reached_where_few_rows_are_marked(spark, monkeypatch):
     monkeypatch.setattr(pii, "train", got.extend)
     pii.learn(docs, sample=50)
     assert len(got) == 50
+
+
+def test_tokens_outside_by_construction_take_part_in_the_chain():
+    """Marginals of the nodes equal those over all labellings of all tokens, of which the plain ones are held at outside."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    model = pii.Model(rng.normal(size=(pii.FEATURES, 6)), rng.normal(size=(3, 6, 6)))
+    text = "plain 12 a7 words here x9"
+    g = pii.graph([text])
+    assert [text[a:b] for _, a, b in g.place] == ["12", "a7", "x9"] and g.edges.tolist() == [[0, 1, 0], [1, 2, 2]]
+    unary = model.w[g.x].sum(axis=1) + np.eye(6)[0]
+    total = np.zeros((3, 6))
+    for a, b, c in itertools.product(range(6), repeat=3):
+        labels = [0, a, b, 0, 0, c]
+        chain = sum(model.pair[0][labels[k], labels[k + 1]] for k in range(5))
+        # tokens that are outside by construction say the same to each other whatever the rest
+        p = np.exp(unary[0, a] + unary[1, b] + unary[2, c] + chain + model.pair[2][b, c])
+        total[0, a] += p
+        total[1, b] += p
+        total[2, c] += p
+    got, _ = model.propagate(g, g.x, rounds=80)
+    assert np.allclose(got, total / total.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+def trained():
+    if not hasattr(trained, "model"):
+        trained.model = pii.train([t for t, _ in documents(1, 400)])
+    return trained.model
+
+
+def test_edges_help_on_held_out_texts():
+    """Ablation: secrets that come again without a cue, and spans where there is nothing, with the edges' potentials and without."""
+    model = trained()
+    lone = pii.Model(model.w, model.pair * 0)
+    held = pii.examples(300, seed=99)
+    found = {}
+    for name, m in (("edges", model), ("none", lone)):
+        hit = want = extra = 0
+        for (t, gold), (base, spans) in zip(held, pii.spans_of([t for t, _ in held], m), strict=True):
+            secrets = [s for s in gold if s[0] == 4]
+            want += len(secrets)
+            hit += sum(any(k == 4 and p < b and a < q for k, p, q in spans) for _, a, b in secrets)
+            extra += sum(s not in base and not any(s[1] < b and a < s[2] for _, a, b in gold) for s in spans)
+        found[name] = hit / want, extra
+    assert found["edges"][0] > found["none"][0] + 0.03 and found["edges"][0] > 0.95
+    assert found["edges"][1] < 0.5 * found["none"][1]
+
+
+def test_dates_times_versions_and_amounts_are_outside():
+    for t in (
+        "Released on 2024-05-01 at 10:30 as 1.2.3",
+        "pay $19.99 on 3/4/2021 for 12 items, 50% off",
+        "Licensed under CC BY-NC 4.0.",
+        "Licensed under the Apache License, Version 2.0.",
+        "GNU General Public License, version 3.",
+        "in 1999 there were 12000 of 3.5 kg in room 42",
+    ):
+        assert pii.spans_of([t], trained())[0] == ([], [])
+    t = "code AB12 and token=Zq8fK2mPw9Lx"
+    assert pii.spans_of([t], trained())[0][1] == [(4, t.index("Zq"), len(t))]
+
+
+def test_time_is_linear():
+    import time
+
+    for unit in (".", "AKIA", "x)", "'", "=1", "a.", "@", "Ab", "1.", "password:", "-+"):
+        t = unit * (200_000 // len(unit))
+        start = time.time()
+        pii.spans_of([t, f"1 {t} 2", f"{t}1"], trained())
+        assert time.time() - start < 3, unit
+
+
+def test_query(spark, tmp_path):
+    import hashlib
+
+    from keyfold.llm import queries
+
+    docs = [(i, t) for i, (t, _) in enumerate(documents(1, 60))] + [(100, None), (101, ""), (None, "a@b.co and 1.2.3.4, +1 212 555 0000")]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        base = plain(t or "")
+        text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(base))
+        r = got[i]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == x for k, *_ in base) for x in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        order = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in spans]
+        assert order == sorted(order) and set(base) <= set(order)
+        assert r["n_spans"] == len(order) and r["n_secret"] == sum(k == 4 for k, *_ in order)
