@@ -67,14 +67,16 @@ def lowest(df: DataFrame, h: Column, k: int, rows: int) -> DataFrame:
     return cut.withColumn("__place", place).withColumn("__h", h).orderBy("__place", "__h").limit(k).drop("__place", "__h")
 
 
-def sample(df: DataFrame, k: int, text: str, stretch: int) -> list[Row]:
-    """At most k of df's distinct rows, those with the lowest hashes, less all of column text but `stretch` characters from a place that the hash chooses."""
+def sample(df: DataFrame, k: int, text: str, stretch: int, where: Column) -> list[Row]:
+    """At most k of df's distinct rows that meet where, those with the lowest hashes, less all of column text but `stretch` characters from a place that the hash chooses."""
     h = F.xxhash64(*df.columns)
-    hashes = df.select(h.alias("__key")).distinct()
+    hashes = materialize(df.where(where).select(h.alias("__key")).distinct(), "hashes")
     low = lowest(hashes, F.col("__key"), k, hashes.count())
     start = F.pmod(F.col("__key"), F.greatest(F.length(text) - stretch, F.lit(0)) + 1).cast("int")
     rows = df.withColumn("__key", h).join(F.broadcast(low), "__key").withColumn(text, F.substring(F.col(text), start + 1, F.lit(stretch)))
-    return rows.groupBy("__key").agg(*(F.min(c).alias(c) for c in df.columns)).drop("__key").collect()
+    found = rows.groupBy("__key").agg(*(F.min(c).alias(c) for c in df.columns)).drop("__key").collect()
+    release(hashes)
+    return found
 
 
 def tokenizer_json(path: str | None = None) -> str:

@@ -224,8 +224,9 @@ def train(rows: list[tuple[str, str]], settings: Settings | None = None) -> Netw
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, stretch: int = STRETCH, settings: Settings | None = None) -> Network:
     """A network from a bounded sample of the rows of labelled: the documents, less what must not be learnt from."""
-    some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return train([(r["text"], r["lang"]) for r in common.sample(some, sample, "text", stretch) if has_letter(r["text"])], settings)
+    some = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    found = common.sample(some, sample, "text", stretch, F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return train([(r["text"], r["lang"]) for r in found if has_letter(r["text"])], settings)
 
 
 def label(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -510,8 +510,8 @@ def _groups(texts: list[str | None], block: int) -> Iterator[tuple[int, list[str
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, stretch: int = STRETCH) -> Model:
     """A field from a bounded sample of the texts with a digit, an at sign or a cue for secrets; `sample` stretches of text reach the driver."""
     text = F.col(text_col).cast("string")
-    marked = docs.where(text.rlike(r"(?i)[0-9@]|(?:token|passw(?:or)?d|secret|api[_-]?key)\s*[=:]")).select(text.alias("text"))
-    return train(sorted(r["text"] for r in common.sample(marked, sample, "text", stretch)))
+    marked = F.col("text").rlike(r"[0-9@]|(?i:token|passw(?:or)?d|secret|api[_-]?key)\s*[=:]")
+    return train(sorted(r["text"] for r in common.sample(docs.select(text.alias("text")), sample, "text", stretch, marked)))
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
