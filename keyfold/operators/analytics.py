@@ -24,7 +24,7 @@ def throughput(n: Column, seconds: Column) -> Column:
 
 
 def normalize(runs: DataFrame, numeric: dict[str, str]) -> DataFrame:
-    """Text to numbers (null where it is none), and the columns tot_sec, time_sec, dataset_type and total_throughput filled in."""
+    """numeric: column -> type, such as sources.results.NUMERIC.  Text to numbers (null where it is none), and the columns tot_sec, time_sec, dataset_type and total_throughput filled in."""
     for c, kind in numeric.items():
         if c in runs.columns:
             runs = runs.withColumn(c, F.col(c).try_cast(kind))
@@ -108,17 +108,26 @@ def infer_exec_type(runs: DataFrame, fallback: str) -> DataFrame:
     return seen.select(kind.alias("exec_type"))
 
 
+def _first_values(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """The first value that isn't null of each column, in order (ties: the least value); null keys are a group."""
+
+    def first(c: str) -> Column:
+        return F.min(F.when(F.col(c).isNotNull(), F.struct(*(F.col(o).alias(f"o{k}") for k, o in enumerate(order)), F.col(c).alias("x"))))["x"]
+
+    return df.groupBy(*by).agg(*(first(c).alias(c) for c in columns))
+
+
 def strong(averaged: DataFrame, keys: list[str]) -> DataFrame:
-    """averaged with speedup and parallel_efficiency against the fewest units of its group."""
-    base = _first(averaged.where("time_sec is not null"), keys, [F.col("scaling_units")])
+    """averaged with speedup and parallel_efficiency against the fewest units, and the first time that is known, of its group."""
+    base = _first_values(averaged, keys, ["scaling_units"], ["scaling_units", "time_sec"])
     out = with_baseline(averaged, base, keys, baseline_units="scaling_units", baseline_time="time_sec").where("baseline_time > 0")
     out = out.withColumn("speedup", F.col("baseline_time") / F.col("time_sec"))
     return out.withColumn("parallel_efficiency", F.col("speedup") / (F.col("scaling_units") / F.col("baseline_units")))
 
 
 def weak(averaged: DataFrame, keys: list[str]) -> DataFrame:
-    """averaged with scaled_speedup and weak_efficiency; the baseline has the fewest units, then the least nr."""
-    base = _first(averaged.where("time_sec is not null"), keys, [F.col("scaling_units"), F.col("nr")])
+    """averaged with scaled_speedup and weak_efficiency; the baseline has the fewest units, and the first time known in the order of units, then nr."""
+    base = _first_values(averaged, keys, ["scaling_units", "nr"], ["scaling_units", "time_sec"])
     out = with_baseline(averaged, base, keys, baseline_units="scaling_units", baseline_time="time_sec").where("baseline_time > 0")
     out = out.withColumn("weak_efficiency", F.col("baseline_time") / F.col("time_sec"))
     return out.withColumn("scaled_speedup", F.col("scaling_units") / F.col("baseline_units") * F.col("weak_efficiency"))
@@ -139,9 +148,22 @@ def checksum_validation(runs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def number(x: Column) -> Column:
-    """Whole numbers without a point, others with six digits at most, null as NA."""
-    whole = F.format_string("%d", x.cast("bigint"))
-    return F.when(x.isNull(), "NA").when(x == F.floor(x), whole).otherwise(F.regexp_replace(F.format_string("%.6f", x), "\\.?0+$", ""))
+    """Whole numbers without a point, others to six significant digits, with an exponent below 1e-4 and from 1e6 on; null as NA.
+
+    A number whose decimals end in a 5 just behind the sixth digit is rounded up, where C goes by the binary value."""
+    x = x.cast("double")
+    parts = F.split(F.format_string("%.5e", F.abs(x)), "e")
+    power, digits = parts[1].cast("int"), F.replace(parts[0], F.lit("."), F.lit(""))
+
+    def trimmed(whole: Column, rest: Column) -> Column:
+        return F.regexp_replace(F.concat(whole, F.lit("."), rest), "\\.?0*$", "")
+
+    small = trimmed(F.lit("0"), F.concat(F.repeat(F.lit("0"), F.greatest(-1 - power, F.lit(0))), digits))
+    plain = trimmed(F.substring(digits, F.lit(1), power + 1), F.substring(digits, power + 2, F.lit(6)))
+    long = F.concat(trimmed(F.substring(digits, F.lit(1), F.lit(1)), F.substring(digits, F.lit(2), F.lit(6))), F.lit("e"), parts[1])
+    text = F.when((power < -4) | (power > 5), long).when(power < 0, small).otherwise(plain)
+    whole = F.format_string("%.0f", x)
+    return F.when(x.isNull(), "NA").when(x == F.floor(x), whole).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
 
 
 def problem_label() -> Column:

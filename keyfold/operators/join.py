@@ -38,7 +38,7 @@ def _matches(r: DataFrame, s: DataFrame, key_r: str, key_s: str, strategy: str)
 
 
 def checksums(matches: DataFrame, *by: str) -> DataFrame:
-    """(*by, join_count, checksum1, checksum2) of (key, m) rows."""
+    """(*by, join_count, checksum1, checksum2), all unsigned, of (key, m) rows."""
     key, m = F.col("key"), F.col("m")
     with u64.wrapping(matches.sparkSession):
         first: Column = u64.splitmix64(key) * m
@@ -46,7 +46,7 @@ def checksums(matches: DataFrame, *by: str) -> DataFrame:
         rows = matches.select(*by, "m", first.alias("a"), second.alias("b"))
         sums = [F.coalesce(F.sum(c), F.lit(0).cast("bigint")) for c in ("m", "a", "b")]
         total = rows.groupBy(*by).agg(*(x.alias(n) for x, n in zip(sums, "mab", strict=True)))
-        return total.select(*by, F.col("m").alias("join_count"), u64.to_decimal(F.col("a")).alias("checksum1"), u64.to_decimal(F.col("b")).alias("checksum2"))
+        return total.select(*by, *(u64.to_decimal(F.col(c)).alias(n) for c, n in zip("mab", ("join_count", "checksum1", "checksum2"), strict=True)))
 
 
 def checksum_join(r: DataFrame, s: DataFrame, key_r: str = "key", key_s: str = "key", strategy: str = "eager") -> DataFrame:

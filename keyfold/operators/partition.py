@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from keyfold.functions.u64 import div
 
 BEFORE = (Window.unboundedPreceding, -1)
+#: Rows that a rank can send at once.
+MOST = (1 << 31) - 1
 
 
 def check_partitions(p: int) -> int:
@@ -54,8 +56,13 @@ def rank_of(i: Column, n: int, active: int) -> Column:
 
 
 def ordinal(df: DataFrame, by: str, name: str = "i", width: int = 1 << 16) -> DataFrame:
-    """df with each row's place, from 0, in the order of a unique integral column; one sort per `width` (a power of two) values, one sum over their counts."""
-    chunk = F.shiftright(F.col(by).cast("bigint"), width.bit_length() - 1)
+    """df with each row's place, from 0, in the order of a unique integral column: one sort per chunk of values, one sum over the chunks' counts.
+
+    Chunks are equally wide (a power of two), so that one has about `width` rows, however far apart the values are.
+    """
+    low, high, n = df.agg(F.min(F.col(by).cast("bigint")), F.max(F.col(by).cast("bigint")), F.count(by)).first()
+    span = (high - low + 1) * width // n if n else width
+    chunk = F.shiftright(F.col(by).cast("bigint"), max(0, min(63, span.bit_length() - 1)))
     counts = df.groupBy(chunk.alias("__chunk")).count()
     starts = counts.select("__chunk", F.coalesce(F.sum("count").over(Window.orderBy("__chunk").rowsBetween(*BEFORE)), F.lit(0)).alias("__start"))
     ranked = df.withColumn("__chunk", chunk).withColumn("__n", F.row_number().over(Window.partitionBy("__chunk").orderBy(by)) - 1)
@@ -92,7 +99,7 @@ def block_offsets(df: DataFrame, key: str, p: int, block: int, i: str = "i") ->
     blocks = block_histogram(df, key, p, block, i)
     begins = offsets(blocks.groupBy("pid").agg(F.sum("cnt").alias("cnt"))).select("pid", "begin")
     within = F.coalesce(F.sum("cnt").over(Window.partitionBy("pid").orderBy("block").rowsBetween(*BEFORE)), F.lit(0))
-    return blocks.withColumn("within", within).join(F.broadcast(begins), "pid").select("pid", "block", "cnt", (F.col("begin") + F.col("within")).cast("bigint").alias("start"))  # begins: p rows
+    return blocks.withColumn("within", within).join(begins, "pid").select("pid", "block", "cnt", (F.col("begin") + F.col("within")).cast("bigint").alias("start"))
 
 
 def scatter(df: DataFrame, key: str, p: int, block: int, i: str = "i") -> DataFrame:
@@ -111,8 +118,10 @@ def exchange_matrix(df: DataFrame, key: str, n: int, p: int, ranks: int, strateg
 
 
 def displacements(matrix: DataFrame) -> DataFrame:
-    """The matrix with displ: where each owner's rows begin in a rank's send buffer."""
-    return matrix.withColumn("displ", F.coalesce(F.sum("cnt").over(Window.partitionBy("src_rank").orderBy("owner").rowsBetween(*BEFORE)), F.lit(0)).cast("bigint"))
+    """The matrix with displ: where each owner's rows begin in a rank's send buffer; an error where counts add up to more than MOST."""
+    before = F.coalesce(F.sum("cnt").over(Window.partitionBy("src_rank").orderBy("owner").rowsBetween(*BEFORE)), F.lit(0)).cast("bigint")
+    over = F.raise_error(F.concat(F.lit("displacements overflow at rank "), F.col("src_rank").cast("string"))).cast("bigint")
+    return matrix.withColumn("displ", F.when(before + F.col("cnt") > MOST, over).otherwise(before))
 
 
 def repartition_by_owner(df: DataFrame, key: str, p: int, ranks: int, strategy: str = "block") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyfold.functions import u64
-from keyfold.functions.shared import shared_dir
+from keyfold.functions import shared
 from keyfold.operators import analytics, checker, join, partition
 from keyfold.plans import grid, oracles
 from keyfold.plans.oracles import BLOCK, MAX_KEY, RANKS, SEED, THREADS, N, P
@@ -276,14 +276,14 @@ def scaling_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     rows = analytics.scaling_axis(_normal(spark, sf_dir)).dropna(subset=["scaling_units", "total_throughput"])
-    by = ["dataset_type", "nr", "max_key", "scaling_axis", "scaling_units"]
+    by = ["dataset_type", "nr", "ns", "max_key", "scaling_axis", "scaling_units"]
     return analytics.average(rows, by, ["time_sec"]), [*by, "n_runs"]
 
 
 @query
 def strong_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = _units(spark, sf_dir)
-    return analytics.strong(rows, ["dataset_type", "nr", "max_key", "scaling_axis"]).select(*names, _round("speedup"), _round("parallel_efficiency"))
+    return analytics.strong(rows, ["dataset_type", "nr", "ns", "max_key", "scaling_axis"]).select(*names, _round("speedup"), _round("parallel_efficiency"))
 
 
 @query
@@ -314,7 +314,7 @@ def ordered_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fmt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = analytics.slug(F.concat(F.col("exec_type"), F.lit(" / "), F.coalesce("dataset_type", F.lit("")), F.lit("!")))
     case = F.concat(u64.div(F.col("nr"), 1_000_000).cast("string"), F.lit(" / "), F.coalesce("mpi_processes", F.lit(1)).cast("string"))
-    return _normal(spark, sf_dir).select("run_id", analytics.problem_label().alias("problem"), analytics.number(F.col("tot_sec")).alias("seconds"), slug.alias("slug"), case.alias("case_label"))
+    return _normal(spark, sf_dir).select("run_id", analytics.problem_label().alias("problem"), analytics.number(F.col("tot_sec")).alias("seconds"), analytics.number(F.col("total_throughput")).alias("rate"), analytics.number(F.col("tot_sec") * 1e-6).alias("megaseconds"), slug.alias("slug"), case.alias("case_label"))
 
 
 @query
@@ -356,11 +356,30 @@ def csv_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bench_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs appended to CSV files in the shared folder in two parts, and loaded again."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/keyfold-csv-{uuid.uuid4().hex}/hashjoin_omp"
+    """The runs appended to a CSV file of the shared folder in two parts with different columns, and loaded again from the first folder that has any."""
+    folder = shared.scratch(spark, "csv")
     rows = _loaded(spark, sf_dir)
-    for kind in (F.col("exec_type") == "omp", F.col("exec_type") != "omp"):
-        results.append(rows.where(kind), path)
-    return results.load(spark, [path])
+    results.append(rows.where("exec_type = 'seq'").drop("partition_threads", "join_threads", "mpi_processes"), f"{folder}/hashjoin_omp.csv")
+    results.append(rows.where("exec_type <> 'seq'"), f"{folder}/hashjoin_omp.csv")
+    return results.load_first(spark, [f"{folder}/none", folder])
+
+
+@query
+def log_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a log of every status and priority of orders, and a file that is none: read and parsed."""
+    folder = shared.scratch(spark, "logs")
+    made = _table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("k"), F.max("o_custkey").alias("c"))
+    for r in made.collect():  # a log for each group
+        text = f"started\r\nexecutable=hashjoin_{r['o_orderstatus']}\r\ndataset_type={r['o_orderpriority']}\njoin_count={r['n']}\nchecksum1={r['k']}\nchecksum2={r['c']}\n"
+        text += "verified=true\n" if r["n"] % 2 else ""
+        shared.write_bytes(spark, f"{folder}/slurm-{r['o_orderstatus']}-{r['o_orderpriority'][0]}.out", text.encode())
+    shared.write_bytes(spark, f"{folder}/notes.txt", b"executable=none\n")
+    parsed = logs.parse(logs.read(spark, folder))
+    return parsed.withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
+
+
+@query
+def repartition_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's key in the Spark partition of the rank that owns it."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey")
+    return partition.repartition_by_owner(rows, "o_orderkey", P, RANKS).select("o_orderkey", F.spark_partition_id().alias("owner"))

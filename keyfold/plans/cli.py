@@ -17,20 +17,50 @@ from keyfold.plans.session import RECOMMENDED
 from keyfold.sources import datasets, logs, results
 
 OUTCOME = ("join_count", "checksum1", "checksum2")
+#: A grid's parameter -> the column of a result row.
+RECORDED = {
+    "node": "mpi_nodes", "mpi_process": "mpi_processes", "mpi_partition_strategy": "mpi_partition_strategy", "partition_thread": "partition_threads", "join_thread": "join_threads",
+    "partition_schedule": "partition_schedule", "join_schedule": "join_schedule", "partition_chunk": "partition_chunk", "join_chunk": "join_chunk", "partition_block_size": "partition_block_size",
+}
 
 
-def run(spark: SparkSession, nr: int, ns: int, seed: int, max_key: int, p: int, dataset: str = "uniform", strategy: str = "eager") -> dict[str, str]:
-    """Generate both relations, time their join, verify it against all pairs where both are small; the values of one result row."""
+def outcome(spark: SparkSession, sides: list[DataFrame], strategy: str, p: int, ranks: int, ownership: str) -> dict[str, int]:
+    """The join's result; with ranks, the sum of what each owner of partitions has."""
+    if ranks < 2:
+        rows = [join.checksum_join(*sides, strategy=strategy).first()]
+    else:
+        rows = join.rank_partials(*sides, "key", "key", p, ranks, ownership).collect()  # one for each rank
+    return {k: sum(int(r[k]) for r in rows) % (1 << 64) for k in OUTCOME}
+
+
+def run(
+    spark: SparkSession, nr: int, ns: int, seed: int, max_key: int, p: int, dataset: str = "uniform", strategy: str = "eager",
+    ranks: int = 1, ownership: str = "block", partition_tasks: int | None = None, join_tasks: int | None = None,
+) -> dict[str, str]:
+    """Generate both relations, time their join, verify it against all pairs where both are small; the values of one result row.
+
+    ranks, ownership: the join is summed from the shares of so many owners of partitions; partition_tasks, join_tasks: how many tasks hold a side and
+    join (the session's own numbers if not given).
+    """
     partition.check_partitions(p)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     sides = [datasets.relation(spark, n, s, max_key, p, dataset).select("key").persist(StorageLevel.MEMORY_AND_DISK) for n, s in ((nr, seed), (ns, datasets.second_seed(seed)))]
+    if partition_tasks:
+        whole, sides = sides, [s.repartition(partition_tasks).persist(StorageLevel.MEMORY_AND_DISK) for s in sides]
     for s in sides:
         s.count()  # generation isn't timed
-    began = time.perf_counter()
-    found = join.checksum_join(*sides, strategy=strategy).first()
-    took = time.perf_counter() - began
+    for s in whole if partition_tasks else []:
+        s.unpersist()
+    spark.conf.set("spark.sql.shuffle.partitions", str(join_tasks or before))
+    try:
+        began = time.perf_counter()
+        found = outcome(spark, sides, strategy, p, ranks, ownership)
+        took = time.perf_counter() - began
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     out = {"executable": f"keyfold_{strategy}", "dataset_type": dataset} | {k: str(found[k]) for k in OUTCOME}
     if nr <= join.VERIFY_ROWS and ns <= join.VERIFY_ROWS:
-        naive = join.checksum_join(*sides, strategy="naive").first()
+        naive = outcome(spark, sides, "naive", p, 1, ownership)
         out |= {f"naive_{k}": str(naive[k]) for k in OUTCOME} | {"verified": str(naive == found).lower()}
     for s in sides:
         s.unpersist()
@@ -45,13 +75,18 @@ def frame(spark: SparkSession, rows: list[dict[str, str]]) -> DataFrame:
 
 
 def campaign(spark: SparkSession, values: dict[str, list], repeats: int, csv: str) -> DataFrame:
-    """Every run of a grid, appended to csv as it ends; returns the averages by configuration."""
+    """Every run of a grid, appended to csv as it ends; returns the averages by configuration.
+
+    Processes are the owners that share the partitions, dealt by the strategy; threads are the tasks that hold a side and that join.  Nodes, schedules,
+    chunks and block sizes tell threads how to share loops, which is the scheduler's work here: they are recorded with the run.
+    """
     rows = []
     for g in grid.expand(spark, values, repeats).orderBy("repeat").collect():
-        rows.append(run(spark, g["n"], g["n"], g["seed"], g["max_key"], g["p"], g["dataset_type"]) | {"mpi_partition_strategy": g["mpi_partition_strategy"]})
+        row = run(spark, g["n"], g["n"], g["seed"], g["max_key"], g["p"], g["dataset_type"], "eager", g["mpi_process"], g["mpi_partition_strategy"], g["partition_thread"], g["join_thread"])
+        rows.append(row | {column: str(g[name]) for name, column in RECORDED.items()})
         results.append(frame(spark, rows[-1:]), csv)
-    runs = analytics.normalize(frame(spark, rows), {"nr": "long", "ns": "long", "max_key": "long", "p": "long", "time_sec": "double", "total_throughput": "double"})
-    return analytics.average(runs, ["executable", "dataset_type", "nr", "ns", "max_key", "p"], ["tot_sec", "total_throughput"])
+    runs = analytics.normalize(frame(spark, rows), {k: t for k, t in results.NUMERIC.items() if not k.startswith("checksum")})
+    return analytics.average(runs, ["executable", "dataset_type", "nr", "ns", "max_key", "p", "seed", *RECORDED.values()], ["tot_sec", "total_throughput"])
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -50,7 +50,7 @@ def join(r: str, s: str, by: str = "", extra: str = "") -> str:
     hashed = splitmix(extra.format(pairs=pairs) if extra else pairs, "key")
     total = "coalesce(sum((({h}::UHUGEINT * m) % " + M64 + "::UHUGEINT)::HUGEINT) % " + M64 + "::HUGEINT, 0)::DECIMAL(20,0)"
     group = f"GROUP BY {by}" if by else ""
-    return f"SELECT {by + ',' if by else ''} coalesce(sum(m::HUGEINT), 0)::BIGINT AS join_count, {total.format(h='h1')} AS checksum1, {total.format(h='h2')} AS checksum2 FROM ({hashed}) {group}"
+    return f"SELECT {by + ',' if by else ''} (coalesce(sum((m % {M64}::UHUGEINT)::HUGEINT), 0) % {M64}::HUGEINT)::DECIMAL(20,0) AS join_count, {total.format(h='h1')} AS checksum1, {total.format(h='h2')} AS checksum2 FROM ({hashed}) {group}"
 
 
 def draws(n: int, seed: int) -> str:
@@ -131,19 +131,20 @@ BEST = f"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY
 FROM ({AVERAGE}) WHERE tot_sec IS NOT NULL) WHERE k = 1"""
 AXIS = f"""SELECT *, CASE WHEN partition_threads = join_threads THEN 'omp_threads' WHEN partition_threads IS NOT NULL THEN 'partition_threads' WHEN join_threads IS NOT NULL THEN 'join_threads'
 WHEN mpi_processes IS NOT NULL THEN 'mpi_processes' ELSE 'unknown' END AS scaling_axis, coalesce(partition_threads, join_threads, mpi_processes) AS scaling_units FROM ({NORMAL})"""
-UNITS = f"""SELECT dataset_type, nr, max_key, scaling_axis, scaling_units, avg(time_sec) AS time_sec, count(*) AS n_runs FROM ({AXIS})
+UNITS = f"""SELECT dataset_type, nr, ns, max_key, scaling_axis, scaling_units, avg(time_sec) AS time_sec, count(*) AS n_runs FROM ({AXIS})
 WHERE scaling_units IS NOT NULL AND total_throughput IS NOT NULL GROUP BY ALL"""
 
 
 def scaled(keys: list[str], order: str, columns: str) -> str:
     same = " AND ".join(f"u.{k} IS NOT DISTINCT FROM b.{k}" for k in keys)
-    return f"""WITH u AS ({UNITS}), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order}) AS k FROM u WHERE time_sec IS NOT NULL) WHERE k = 1)
-SELECT u.dataset_type, u.nr, u.max_key, u.scaling_axis, u.scaling_units, u.n_runs, {columns} FROM u JOIN b ON {same} WHERE b.time_sec > 0"""
+    first = ", ".join(f"arg_min({c}, ({order})) FILTER ({c} IS NOT NULL) AS {c}" for c in ("scaling_units", "time_sec"))
+    return f"""WITH u AS ({UNITS}), b AS (SELECT {', '.join(keys)}, {first} FROM u GROUP BY {', '.join(keys)})
+SELECT u.dataset_type, u.nr, u.ns, u.max_key, u.scaling_axis, u.scaling_units, u.n_runs, {columns} FROM u JOIN b ON {same} WHERE b.time_sec > 0"""
 
 
 LOG_TEXT = {
     "path": "concat('slurm-', CAST(o_orderkey AS {s}), '.log')",
-    "text": "concat('noise\nexecutable=', CASE o_orderstatus WHEN 'F' THEN 'hashjoin_seq' WHEN 'O' THEN 'hashjoin_omp' ELSE 'hashjoin_mpi' END, '\r\n',"
+    "text": "concat('noise\nexecutable=', CASE WHEN o_orderkey % 77 = 5 THEN '' ELSE CASE o_orderstatus WHEN 'F' THEN 'hashjoin_seq' WHEN 'O' THEN 'hashjoin_omp' ELSE 'hashjoin_mpi' END END, '\r\n',"
     " 'dataset_type=', o_orderpriority, '\njoin_count=1\njoin_count=', CAST(o_orderkey % 3 AS {s}), '\nchecksum1=', CASE WHEN o_orderkey % 5 = 0 THEN 'a=b' ELSE '17' END, '\r\n',"
     " CASE WHEN o_orderkey % 50 = 3 THEN '' ELSE 'checksum2=9\n' END, CASE o_orderkey % 4 WHEN 0 THEN 'verified=true\n' WHEN 1 THEN 'verified=0\r\n' WHEN 2 THEN 'verified=1\n' ELSE '' END, 'end')",
 }
@@ -151,15 +152,22 @@ _LOGS = "SELECT " + ", ".join(f"{e.format(s='VARCHAR')} AS {n}" for n, e in LOG_
 
 
 def _value(name: str) -> str:
-    return f"regexp_replace(substr(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '{name}='))[-1], {len(name) + 2}), '\\r+$', '')"
+    return f"regexp_replace(substr(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '{name}='))[-1], {len(name) + 2}), '\\r$', '')"
 
 
 PARSED = f"""SELECT path, executable, dataset_type, join_count, checksum1, checksum2, v IS NOT NULL AS has_verified_field, coalesce(v IN ('true', '1'), false) AS verified,
-executable IS NOT NULL AND dataset_type IS NOT NULL AND join_count IS NOT NULL AND checksum1 IS NOT NULL AND checksum2 IS NOT NULL AS complete FROM (
+coalesce(executable, '') <> '' AND coalesce(dataset_type, '') <> '' AND join_count IS NOT NULL AND checksum1 IS NOT NULL AND checksum2 IS NOT NULL AS complete FROM (
 SELECT path, {', '.join(f'{_value(n)} AS {n}' for n in ('executable', 'dataset_type', 'join_count', 'checksum1', 'checksum2'))}, {_value('verified')} AS v FROM ({_LOGS}))"""
 _SPECS = "SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'uniform' WHEN 1 THEN concat('skewed_', CAST(o_custkey % 100 AS VARCHAR), '_5') WHEN 2 THEN 'skewed_90_1' ELSE 'other' END AS dataset_type FROM orders"
 _ROUND = "round({0}, 6) AS {0}"
 
+
+def _number(x: str) -> str:
+    """Whole numbers as such, others to six significant digits, as C prints %g."""
+    return f"CASE WHEN {x} IS NULL THEN 'NA' WHEN {x} = floor({x}) THEN ({x})::HUGEINT::VARCHAR ELSE printf('%g', {x}) END"
+
+
+
 SQL: dict[str, str] = {
     "join_checksum_orders_lineitem": join("SELECT o_orderkey AS key FROM orders", "SELECT l_orderkey AS key FROM lineitem"),
     "join_checksum_custkey_userid": join(CUST, USER),
@@ -198,19 +206,23 @@ SQL: dict[str, str] = {
     "throughput": f"SELECT run_id, round(CASE WHEN tot_sec <= 0 THEN 0.0 ELSE (nr + ns) / tot_sec END, 3) AS throughput FROM ({NORMAL})",
     "speedup_vs_seq": f"WITH b AS ({BEST}) SELECT b.nr, b.ns, b.max_key, b.dataset_type, b.exec_type, round(s.tot_sec / CASE WHEN b.tot_sec > 0 THEN b.tot_sec END, 6) AS speedup_vs_seq FROM b LEFT JOIN b s ON s.exec_type = 'seq' AND s.nr = b.nr AND s.ns = b.ns AND s.max_key = b.max_key AND s.dataset_type IS NOT DISTINCT FROM b.dataset_type",
     "skew_penalty": f"WITH b AS ({BEST}) SELECT b.nr, b.ns, b.max_key, b.dataset_type, b.exec_type, round(b.tot_sec / CASE WHEN u.tot_sec > 0 THEN u.tot_sec END, 6) AS skew_penalty_vs_uniform FROM b LEFT JOIN b u ON u.dataset_type = 'uniform' AND u.nr = b.nr AND u.ns = b.ns AND u.max_key = b.max_key AND u.exec_type = b.exec_type",
-    "strong_scaling": scaled(["dataset_type", "nr", "max_key", "scaling_axis"], "scaling_units", "round(b.time_sec / u.time_sec, 6) AS speedup, round(b.time_sec / u.time_sec / (u.scaling_units / b.scaling_units), 6) AS parallel_efficiency"),
-    "weak_scaling": scaled(["dataset_type", "max_key", "scaling_axis"], "scaling_units, nr", "round(u.scaling_units / b.scaling_units * (b.time_sec / u.time_sec), 6) AS scaled_speedup, round(b.time_sec / u.time_sec, 6) AS weak_efficiency"),
+    "strong_scaling": scaled(["dataset_type", "nr", "ns", "max_key", "scaling_axis"], "scaling_units, time_sec", "round(b.time_sec / u.time_sec, 6) AS speedup, round(b.time_sec / u.time_sec / (u.scaling_units / b.scaling_units), 6) AS parallel_efficiency"),
+    "weak_scaling": scaled(["dataset_type", "max_key", "scaling_axis"], "scaling_units, nr, time_sec", "round(u.scaling_units / b.scaling_units * (b.time_sec / u.time_sec), 6) AS scaled_speedup, round(b.time_sec / u.time_sec, 6) AS weak_efficiency"),
     "scaling_axis": f"SELECT run_id, scaling_axis, scaling_units FROM ({AXIS})",
     "scaling_exec_type": f"SELECT exec_type, CASE WHEN t IS NOT NULL AND r > 1 THEN 'hybrid' WHEN t IS NOT NULL THEN 'omp' WHEN r IS NOT NULL THEN 'mpi' ELSE 'seq' END AS inferred FROM (SELECT exec_type, max(coalesce(partition_threads, join_threads)) AS t, max(mpi_processes) AS r FROM ({NORMAL}) GROUP BY 1)",
     "checksum_validation": f"""SELECT nr, ns, max_key, dataset_type, count(DISTINCT (checksum1, checksum2)) AS n_distinct_checksum_pairs, count(DISTINCT (checksum1, checksum2)) = 1 AS is_valid,
 concat_ws(', ', max(CASE exec_type WHEN 'seq' THEN 'seq' END), max(CASE exec_type WHEN 'omp' THEN 'omp' END), max(CASE exec_type WHEN 'mpi' THEN 'mpi' END), max(CASE exec_type WHEN 'hybrid' THEN 'hybrid' END)) AS exec_types FROM ({NORMAL}) GROUP BY 1, 2, 3, 4""",
     "ordered_dims": "SELECT event_type, (row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, event_type))::INTEGER AS place FROM (SELECT DISTINCT event_type FROM events)",
-    "fmt_labels": f"""SELECT run_id, concat('nr=', nr, ', ns=', ns, ', max_key=', max_key) AS problem, CASE WHEN tot_sec IS NULL THEN 'NA' WHEN tot_sec = floor(tot_sec) THEN tot_sec::BIGINT::VARCHAR ELSE rtrim(rtrim(printf('%.6f', tot_sec), '0'), '.') END AS seconds,
+    "fmt_labels": f"""SELECT run_id, concat('nr=', nr, ', ns=', ns, ', max_key=', max_key) AS problem, {_number('tot_sec')} AS seconds, {_number('total_throughput')} AS rate, {_number('tot_sec * 1e-6')} AS megaseconds,
 substr(regexp_replace(regexp_replace(concat(exec_type, ' / ', dataset_type, '!'), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 180) AS slug, concat((nr // 1000000)::BIGINT, ' / ', coalesce(mpi_processes, 1)) AS case_label FROM ({NORMAL})""",
     "dataset_metadata": f"SELECT dataset_type, CASE WHEN a <> '' THEN 'skewed' ELSE dataset_type END AS dataset, CASE WHEN a <> '' THEN a::DOUBLE / 100 ELSE 0.0 END::DOUBLE AS skew_fraction, CASE WHEN b <> '' THEN b::DOUBLE / 100 ELSE 0.0 END::DOUBLE AS skew_partition_fraction FROM (SELECT dataset_type, regexp_extract(dataset_type, '^skewed_(\\d+)_(\\d+)$', 1) AS a, regexp_extract(dataset_type, '^skewed_(\\d+)_(\\d+)$', 2) AS b FROM ({_SPECS}))",
     "grid_expand": "SELECT r.range::INTEGER AS repeat, node, proc AS mpi_process, strategy AS mpi_partition_strategy, dataset AS dataset_type FROM range(1, 6) r, (SELECT unnest([1, 4, 8]) AS node), (SELECT unnest([1, 4, 8]) AS proc), (SELECT unnest(['block', 'cyclic']) AS strategy), (SELECT unnest(['uniform', 'skewed_90_5', 'skewed_90_1']) AS dataset) WHERE proc >= node AND proc % node = 0",
     "log_parse": PARSED,
     "checker_groups": f"SELECT executable, dataset_type, count(*) AS n_runs, (count(*) FILTER (verified)) AS n_verified, count(DISTINCT (join_count, checksum1, checksum2)) FILTER (NOT verified) AS n_outcomes, count(DISTINCT (join_count, checksum1, checksum2)) FILTER (NOT verified) <= 1 AS ok FROM ({PARSED}) WHERE complete GROUP BY 1, 2",
     "checker_mismatches": f"WITH q AS (SELECT executable, dataset_type, path, join_count, checksum1, checksum2 FROM ({PARSED}) WHERE complete AND NOT verified), f AS (SELECT executable, dataset_type, arg_min((join_count, checksum1, checksum2), path) AS first FROM q GROUP BY 1, 2) SELECT q.* FROM q JOIN f USING (executable, dataset_type) WHERE (q.join_count, q.checksum1, q.checksum2) <> f.first",
+    "bench_csv_roundtrip": f"SELECT {', '.join(f'{c}::VARCHAR AS {c}' for c in RUNS if c != 'stem')}, 'omp' AS exec_type FROM ({LOADED})",
+    "log_read": """SELECT concat('slurm-', o_orderstatus, '-', o_orderpriority[1], '.out') AS path, concat('hashjoin_', o_orderstatus) AS executable, o_orderpriority AS dataset_type, count(*)::VARCHAR AS join_count,
+sum(o_orderkey)::VARCHAR AS checksum1, max(o_custkey)::VARCHAR AS checksum2, count(*) % 2 = 1 AS has_verified_field, count(*) % 2 = 1 AS verified, true AS complete FROM orders GROUP BY o_orderstatus, o_orderpriority""",
+    "repartition_by_owner": f"SELECT o_orderkey, {owner('block')} AS owner FROM ({pid('SELECT o_orderkey FROM orders', 'o_orderkey')})",
     "csv_escape": "SELECT event_id, CASE WHEN regexp_matches(props, '[,\"\n\r]') THEN concat('\"', replace(props, '\"', '\"\"'), '\"') ELSE props END AS field FROM events",
 }

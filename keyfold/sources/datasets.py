@@ -90,8 +90,9 @@ def starts(seed: int, skew: int, begin: int, end: int) -> tuple[np.ndarray, np.n
     return ((at - 1 - before) % 2 == 0)[begin - back :], r[begin - back :]
 
 
-def skewed(spark: SparkSession, n: int, seed: int, max_key: int, p: int, spec: Spec) -> DataFrame:
-    """(i, key) of records 0..n."""
+def skewed(spark: SparkSession, n: int, seed: int, max_key: int, p: int, spec: Spec, begin: int = 0, end: int | None = None) -> DataFrame:
+    """(i, key) of records begin..end of n; only chunks with some of them are made."""
+    end = n if end is None else min(end, n)
     if not spec.skew or not n:
         return uniform(spark, n, seed, max_key)
     shipping.ship(spark)
@@ -107,7 +108,7 @@ def skewed(spark: SparkSession, n: int, seed: int, max_key: int, p: int, spec: S
 
     counts = ids.mapInArrow(count, "id long, n long")
     base = F.coalesce(F.sum("n").over(Window.orderBy("id").rowsBetween(*partition.BEFORE)), F.lit(0))  # a row for each chunk
-    placed = counts.select("id", base.alias("base")).where(F.col("base") < n).repartition(ids.rdd.getNumPartitions(), "id")
+    placed = counts.select("id", "n", base.alias("base")).where((F.col("base") < end) & (F.col("base") + F.col("n") > begin)).select("id", "base").repartition(ids.rdd.getNumPartitions(), "id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,10 +117,12 @@ def skewed(spark: SparkSession, n: int, seed: int, max_key: int, p: int, spec: S
                 at = np.flatnonzero(begin)[: max(0, n - first)]
                 hot = r[at] % np.uint64(100) < spec.skew
                 cold = (r[at] % np.uint64(max_key) if max_key else np.zeros(len(at))).astype(np.int64)
-                idx = np.where(hot, (r[at + 1] % np.uint64(size)).astype(np.int64), -1)
+                idx = np.where(hot, (r[at + 1] % np.uint64(size)).astype(np.int64), -1 - np.arange(len(at)))  # no pool has these, and no two rows of a chunk share one
                 yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(at))), pa.array(cold), pa.array(idx)], ["i", "cold", "idx"])
 
     rows = placed.mapInArrow(make, "i long, cold long, idx long")
+    if begin or end < n:
+        rows = rows.where((F.col("i") >= begin) & (F.col("i") < end))
     found = rows.join(keys, "idx", "left")  # broadcast by the optimizer where the pool is small
     return found.select("i", F.coalesce("key", "cold").alias("key"))
 
@@ -135,4 +138,4 @@ def relation_slice(spark: SparkSession, n: int, begin: int, end: int, seed: int,
     spec = Spec.parse(dataset)
     if not spec.skew:
         return uniform(spark, min(end, n), seed, max_key, begin)
-    return skewed(spark, n, seed, max_key, p, spec).where((F.col("i") >= begin) & (F.col("i") < end))
+    return skewed(spark, n, seed, max_key, p, spec, begin, end)

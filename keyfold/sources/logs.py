@@ -16,16 +16,15 @@ def read(spark: SparkSession, folder: str, pattern: str = "slurm*") -> DataFrame
 
 
 def _value(name: str) -> Column:
-    """The value of the last line `name=...`, less carriage returns at its end; null if there is none."""
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.startswith(f"{name}="))
-    last = F.try_element_at(lines, F.lit(-1))
-    return F.regexp_replace(F.substring(last, len(name) + 2, 1 << 30), "\r+$", "")
+    """The value of the last of lines that is `name=...`, less a carriage return at its end; null if there is none."""
+    last = F.try_element_at(F.filter("lines", lambda x: x.startswith(f"{name}=")), F.lit(-1))
+    return F.regexp_replace(F.substring(last, len(name) + 2, 1 << 30), "\r$", "")
 
 
 def parse(logs: DataFrame) -> DataFrame:
-    """(path, the required values as text, has_verified_field, verified, complete) of (path, text) rows."""
-    out = logs.select("path", *(_value(n).alias(n) for n in REQUIRED), _value("verified").alias("v"))
+    """(path, the required values as text, has_verified_field, verified, complete) of (path, text) rows; complete: all are there, executable and dataset_type not empty."""
+    out = logs.select("path", F.split("text", "\n").alias("lines")).select("path", *(_value(n).alias(n) for n in REQUIRED), _value("verified").alias("v"))
     complete = F.lit(True)
     for n in REQUIRED:
-        complete = complete & F.col(n).isNotNull()
+        complete = complete & (F.coalesce(F.col(n), F.lit("")) != "" if n in ("executable", "dataset_type") else F.col(n).isNotNull())
     return out.select("path", *REQUIRED, F.col("v").isNotNull().alias("has_verified_field"), F.coalesce(F.col("v").isin("true", "1"), F.lit(False)).alias("verified"), complete.alias("complete"))

@@ -152,3 +152,45 @@ def test_work_items_cover_the_probe_side(spark):
         mine = sorted((x["s_begin"], x["s_end"]) for x in items if x["pid"] == pid)
         assert mine[0][0] == sizes[pid][0] and mine[-1][1] == sizes[pid][1] and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
     assert [x["work"] for x in items] == sorted((x["work"] for x in items), reverse=True) and max(x["part"] for x in items) > 0
+
+
+def test_the_count_is_unsigned(spark):
+    from pyspark.sql import functions as F
+
+    matches = spark.range(3).select(F.col("id").alias("key"), F.lit((1 << 62) + 1).alias("m"))
+    assert join.checksums(matches).first()["join_count"] == 3 * ((1 << 62) + 1)
+
+
+def test_ordinals_of_values_far_apart(spark):
+    import random
+
+    from keyfold.operators import partition
+
+    rng = random.Random(3)
+    for values in ([rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)], list(range(-5, 40)), [7], [0, (1 << 63) - 1, -(1 << 63)]):
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        got = {r["v"]: r["i"] for r in partition.ordinal(df, "v", width=64).collect()}
+        assert got == {v: k for k, v in enumerate(sorted(values))}
+    assert partition.ordinal(spark.createDataFrame([], "v long"), "v").count() == 0
+
+
+def test_displacements_that_overflow(spark):
+    import pytest
+    from keyfold.operators import partition
+
+    ok = spark.createDataFrame([(0, 0, 1 << 30), (0, 1, (1 << 30) - 1), (1, 0, 5)], "src_rank int, owner int, cnt long")
+    assert {(r["src_rank"], r["owner"]): r["displ"] for r in partition.displacements(ok).collect()} == {(0, 0): 0, (0, 1): 1 << 30, (1, 0): 0}
+    with pytest.raises(Exception, match="overflow"):
+        partition.displacements(ok.union(ok.where("src_rank = 0").selectExpr("src_rank", "owner + 2", "cnt"))).collect()
+
+
+def test_a_cluster_must_name_the_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest
+    from keyfold.functions import shared
+
+    other = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(other)
+    assert shared.shared_dir(spark)

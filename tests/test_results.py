@@ -106,3 +106,43 @@ def test_grid(spark):
     assert grid.expand(spark, values, 5).count() == 180
     with pytest.raises(ValueError):
         grid.expand(spark, values | {"seed": []})
+
+
+def test_parts_with_other_columns_keep_their_names(spark, tmp_path):
+    at = str(tmp_path / "hashjoin_omp.csv")
+    results.append(spark.createDataFrame([("e", 9)], "executable string, nr int"), at)
+    results.append(spark.createDataFrame([("true", 8, "f")], "verified string, nr int, executable string"), at)
+    results.append(spark.createDataFrame([("g", 7)], "executable string, nr int"), at)
+    got = {r["nr"]: (r["executable"], r["verified"], r["exec_type"]) for r in results.load(spark, [at]).collect()}
+    assert got == {"9": ("e", None, "omp"), "8": ("f", "true", "omp"), "7": ("g", None, "omp")}
+
+
+def test_the_first_folder_with_files_is_loaded(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "a" / "other.csv").write_text("nr\n1\n")
+    (tmp_path / "b" / "hashjoin_seq.csv").write_text("nr,checksum1\n2,18446744073709551615\nx,\n")
+    (tmp_path / "b" / "hashjoin_hybrid_uniform.csv").write_text("nr\n3\n")
+    (tmp_path / "c" / "hashjoin_seq.csv").write_text("nr\n4\n")
+    folders = [str(tmp_path / x) for x in ("none", "a", "b", "c")]
+    runs = analytics.normalize(results.load_first(spark, folders), results.NUMERIC)
+    assert sorted(((r["exec_type"], r["nr"], r["checksum1"]) for r in runs.collect()), key=str) == sorted([("seq", 2, 18446744073709551615), ("seq", None, None), ("hybrid", 3, None)], key=str)
+    with pytest.raises(FileNotFoundError):
+        results.load_first(spark, folders[:2])
+
+
+def test_numbers_are_printed_as_by_g(spark):
+    values = [1234567.5, 0.1, 1e-5, 1.5e-5, 123456.75, 99999.96, 999999.5, 1e20 + 0.5, 12.5, -0.25, -1234567.25, 3.0, -4.0, 0.0001, 0.000123456789, 1e15 + 0.5, 0.1 + 0.2]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(analytics.number(F.col("v"))).collect()]
+    assert got == [str(int(v)) if v.is_integer() else f"{v:g}" for v in values]
+
+
+def test_empty_names_are_missing(spark, tmp_path):
+    rows = logs.parse(logs.read(spark, write(tmp_path, log(executable=""), log(dataset=""), log(count=""), log()))).orderBy("path").collect()
+    assert [r["complete"] for r in rows] == [False, False, True, True] and rows[0]["executable"] == ""
+
+
+def test_the_baseline_is_the_first_value_of_each_column(spark):
+    rows = frame(spark, ("omp", "d", 10, 10, 5, None, 1, "x", None), ("omp", "d", 10, 10, 5, 4.0, 2, "x", 4.0), ("omp", "d", 10, 10, 5, 1.0, 4, "x", 1.0), ("omp", None, 10, 10, 5, 1.0, 3, "x", 1.0))
+    got = {(r["dataset_type"], r["scaling_units"]): (r["baseline_units"], r["baseline_time"], r["speedup"], r["parallel_efficiency"]) for r in analytics.strong(rows, ["dataset_type"]).collect()}
+    assert got == {("d", 1): (1, 4.0, None, None), ("d", 2): (1, 4.0, 1.0, 0.5), ("d", 4): (1, 4.0, 4.0, 1.0), (None, 3): (3, 1.0, 1.0, 1.0)}
