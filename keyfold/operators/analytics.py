@@ -163,7 +163,7 @@ def number(x: Column) -> Column:
     long = F.concat(trimmed(F.substring(digits, F.lit(1), F.lit(1)), F.substring(digits, F.lit(2), F.lit(6))), F.lit("e"), parts[1])
     text = F.when((power < -4) | (power > 5), long).when(power < 0, small).otherwise(plain)
     whole = F.format_string("%.0f", x)
-    return F.when(x.isNull(), "NA").when(x == F.floor(x), whole).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
+    return F.when(x.isNull(), "NA").when((F.abs(x) >= 1 << 53) | (x == F.floor(x)), whole).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
 
 
 def problem_label() -> Column:
