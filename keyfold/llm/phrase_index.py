@@ -69,7 +69,7 @@ def _maybe(terms: DataFrame, term: Column) -> Column:
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(term, n): how often each item term occurs in the corpus; docs: from _keyed, items: from item_words."""
     vocabulary = common.materialize(items.select(F.explode("words").alias("term")).distinct(), "terms")
-    words = docs.select(F.explode("words").alias("term"))
+    words = docs.select(F.explode_outer("words").alias("term"))  # explode() would cut every text twice, to drop those without words first
     if common.fits(vocabulary):
         return words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
     counts = words.where(_maybe(vocabulary, F.col("term"))).groupBy("term").agg(F.count("*").alias("n"))
@@ -92,7 +92,7 @@ def windows(items: DataFrame, counts: DataFrame, window: int = WINDOW, least: in
 
 def build_index(docs: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
     """The stored postings (term, k1, k2, pos, around); anchors: (term, first); around: up to reach words on either side, for first terms."""
-    posted = docs.select("k1", "k2", "words", F.posexplode("words").alias("pos", "term"))
+    posted = docs.select("k1", "k2", "words", F.posexplode_outer("words").alias("pos", "term"))
     around = F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1)
     columns = ["term", "k1", "k2", "pos"]
     if common.fits(anchors):
