@@ -106,7 +106,8 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buc
     sample = common.lowest(known, F.xxhash64("id"), target_rows, known.count())
     rows = docs.select(docs[id_col].alias("id"), words_of(docs[text_col].cast("string")).alias("words"))
     rows = rows.join(F.broadcast(sample.withColumn("trusted", F.lit(1))), "id", "left")  # at most target_rows ids
-    counts = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(grams(F.col("words"), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
+    counts = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode_outer(grams(F.col("words"), buckets)).alias("b"))  # explode() would make the buckets twice, to drop rows without any first
+    counts = counts.where("b is not null").groupBy("b").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
     table = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left").na.fill(0)
     total = table.agg(F.sum("r").alias("rs"), F.sum("t").alias("ts"), F.sort_array(F.collect_list(F.struct("b", "r", "t"))).alias("x"))
     ratio = F.transform("x", lambda x: F.log((x["t"] + PSEUDO) / (x["r"] * (F.col("ts") / F.col("rs")) + PSEUDO)))
