@@ -11,8 +11,9 @@ P(token) = P(class | context) * P(token | class, context):
 
 Training makes one pass over all training documents in `ROUNDS` rounds of distinct documents.  In a round each task starts from the
 broadcast parameters and takes row-wise adaptive gradient steps over its documents; the tasks' changes are averaged per row,
-weighted by how often each task used the row, in two shuffled levels.  Parameters have a fixed size; what is shuffled grows with the
-number of tasks, that is with the corpus.
+weighted by how often each task used the row, in two shuffled levels (as many groups of tasks as there are tasks in one).  Parameters have a fixed
+size; what is shuffled grows with the number of tasks, that is with the corpus.  How the corpus is dealt to tasks is part of the training: the same rows
+dealt otherwise give a slightly different model.
 
 Texts are read twice: to count words, and to write a coded table with two bytes a token, which training and scoring read.
 The most frequent tokens, `KNOWN` at most, and their counts go to all tasks; occurrences of the rest, of which none is frequent, are joined
@@ -45,8 +46,6 @@ KNOWN = 1 << 16
 ROUNDS = 3
 BATCH = 8192
 RATE = 0.15
-#: Tasks that average the changes to a block of rows before one task does.
-MERGERS = 16
 REMEMBERED = 300_000
 
 _START = HEAD + TAILS * SUFFIXES  # the context before a text
@@ -144,16 +143,18 @@ class Model:
         self.rows = np.zeros((ROWS, WIDTH), np.float32)
 
     def classes(self, f: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Logits of the classes."""
         z = _take(self.rows, f[0])
         z += _take(self.rows, f[1])
         z += _take(self.rows, f[2])
         z += self.class_bias
-        return _softmax(z)
+        return z
 
     def words(self, cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Logits of a class's words."""
         z = _take(self.rows, rows)
         z += _take(self.word_bias, cls)
-        return _softmax(z)
+        return z
 
     def log10(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 probability of each token, for tail tokens less log10(count + 1)."""
@@ -161,12 +162,11 @@ class Model:
         for a in range(0, len(token), BATCH):
             t, o, w = token[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
             cls = class_of(t)
-            p = self.classes(features(o, w))[np.arange(len(t)), cls].astype(float)
+            p = _log_picked(self.classes(features(o, w)), cls)
             head = np.flatnonzero(t < HEAD)
-            q = np.ones(len(t))
-            q[head] = self.words(cls[head], within(cls[head], o[head]))[np.arange(len(head)), t[head] % WIDTH]
+            p[head] += _log_picked(self.words(cls[head], within(cls[head], o[head])), t[head] % WIDTH)
             tail = np.where(t < HEAD, 0.0, self.tail_log10[np.maximum(cls - _HEADS, 0)])
-            out[a : a + BATCH] = np.log10(np.maximum(p * q, 1e-30)) - tail
+            out[a : a + BATCH] = p / math.log(10) - tail
         return out
 
 
@@ -182,6 +182,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _log_picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of _softmax(z) at one place of each row, without going through probabilities too small to hold; z is overwritten."""
+    np.clip(z, -60, 60, out=z)
+    picked = z[np.arange(len(z)), at].astype(float)
+    np.exp(z, out=z)
+    return picked - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
 class Learner:
     """Row-wise adaptive gradient steps on a task's own copy of the rows; `used` counts the tokens behind each row's changes."""
 
@@ -195,12 +203,12 @@ class Learner:
         m = self.model
         cls = class_of(token)
         f = features(one, two)
-        g = m.classes(f)
+        g = _softmax(m.classes(f))
         np.negative(g, out=g)
         g[np.arange(len(token)), cls] += 1
         head = np.flatnonzero(token < HEAD)
         r = within(cls[head], one[head])
-        gw = m.words(cls[head], r)
+        gw = _softmax(m.words(cls[head], r))
         np.negative(gw, out=gw)
         gw[np.arange(len(head)), token[head] % WIDTH] += 1
         for rows in f:
@@ -301,6 +309,7 @@ def fit(coded: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     """The model after all rounds over the rows to learn from."""
     spark = coded.sparkSession
     model = Model(counts)
+    groups = max(16, math.isqrt(coded.rdd.getNumPartitions()))  # of tasks, whose changes are averaged before those of all are
     for k in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
@@ -341,7 +350,7 @@ def fit(coded: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
 
         kind = "part long, block int, change binary, used binary"
         docs = coded.where(F.col("learn") & (F.pmod(F.xxhash64("row"), F.lit(rounds)) == k)).select("ids")
-        changes = docs.mapInArrow(local, kind).withColumn("part", F.col("part") % MERGERS)
+        changes = docs.mapInArrow(local, kind).withColumn("part", F.col("part") % groups)
         merged = changes.repartition("part", "block").mapInArrow(merge, kind).repartition("block").mapInArrow(merge, kind)
         rows = model.rows.copy()
         for r in merged.collect():  # ROWS rows at most
