@@ -380,6 +380,14 @@ def _number() -> Column:
     return F.monotonically_increasing_id()
 
 
+def _runs(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of intervals that overlap begins, and up to where it goes; intervals in the order of row and start."""
+    begin, until = row.astype(np.int64) << 32 | start, np.maximum.accumulate(row.astype(np.int64) << 32 | stop)
+    at = np.flatnonzero(np.concatenate(([True], begin[1:] >= until[:-1]))[: len(begin)])
+    last = np.append(at[1:], len(begin))[: len(at)] - 1
+    return at, until[last] & 0xFFFFFFFF
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE, number: Column | None = None) -> DataFrame:
     """(id, number, n_lines, n_passages, passage_words, spans) of every row.
 
@@ -403,40 +411,27 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     kind = rows.schema["id"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("first_id", rows.limit(0).toArrow().schema.field("id").type), ("first_start", pa.int32())])
 
-    def passages(units: list[dict]) -> list[int]:
-        """How many words each passage has."""
-        out, place, until = [], 0, -1
-        for u in units:
-            if u["words"]:
-                if u["place"] >= until:
-                    place = u["place"]
-                    out.append(0)
-                until = max(until, u["place"] + u["words"])
-                out[-1] = until - place
-        return out
-
-    def merged(units: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for u in units:
-            if out and u["start"] < out[-1]["stop"]:
-                out[-1]["stop"] = max(out[-1]["stop"], u["stop"])
-            else:
-                out.append({k: u[k] for k in ("start", "stop", "first_id", "first_start")})
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, n, words = [], [], []
-            for i, start, stop, copy, units in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
-                units = units or []
-                long = passages(units)
-                n.append((sum(u["words"] == 0 for u in units), len(long)))
-                words.append(max(long, default=0))
-                if copy and start < stop:
-                    units = [{"start": start, "stop": stop, "first_id": i, "first_start": start}]
-                spans.append(merged(units))
-            counts = [pa.array([x[k] for x in n], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array(words, pa.int64()), pa.array(spans, pa.list_(span))], ["id", "number", "n_lines", "n_passages", "passage_words", "spans"])
+            size, units = b.num_rows, b.column("units").flatten()
+            row = np.repeat(np.arange(size), b.column("units").value_lengths().fill_null(0).to_numpy())
+            start, stop, place, words, first = (units.field(k).to_numpy() for k in ("start", "stop", "place", "words", "first_start"))
+            long = np.flatnonzero(words)
+            passage, until = _runs(row[long], place[long], place[long] + words[long])
+            most = np.zeros(size, np.int64)
+            np.maximum.at(most, row[long][passage], until - place[long][passage])
+            copy = np.flatnonzero(b.column("copy").to_numpy(zero_copy_only=False) & (b.column("start").to_numpy() < b.column("stop").to_numpy()))  # goes whole
+            mine = np.flatnonzero(~np.isin(row, copy))
+            at, end = _runs(row[mine], start[mine], stop[mine])
+            of = np.concatenate((row[mine][at], copy))
+            order = np.argsort(of, kind="stable")
+            begin = np.concatenate((start[mine][at], b.column("start").to_numpy()[copy]))
+            there = [pa.concat_arrays([units.field("first_id").take(pa.array(mine[at])), b.column("id").take(pa.array(copy))]), pa.array(np.concatenate((first[mine][at], begin[len(at) :])), pa.int32())]
+            values = [pa.array(begin, pa.int32()), pa.array(np.concatenate((end, b.column("stop").to_numpy()[copy])), pa.int32()), *there]
+            flat = pa.StructArray.from_arrays([v.take(pa.array(order)) for v in values], fields=list(span))
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(size + 1)), pa.int32()), flat)
+            counts = [np.bincount(row[words == 0], minlength=size), np.bincount(row[long][passage], minlength=size), most]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in counts), spans], ["id", "number", "n_lines", "n_passages", "passage_words", "spans"])
 
     spans = f"array<struct<start:int,stop:int,first_id:{kind},first_start:int>>"
     return held.mapInArrow(run, f"id {kind}, number long, n_lines long, n_passages long, passage_words long, spans {spans}")
