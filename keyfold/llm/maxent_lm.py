@@ -1,13 +1,13 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-Tokens are the words of the text with A-Z lower-cased, then an end token.  Training tokens are counted over the whole corpus.  The `HEAD` most
-frequent tokens fill classes of 64 by rank; all others fall into 32 tail classes by a hash of their last three bytes.  The model is
-P(token) = P(class | context) * P(token | class, context):
+Tokens are the words of the text with A-Z lower-cased, then an end token.  Training tokens are counted over the whole corpus.  A class has 64
+members: the `HEAD` most frequent tokens fill classes by rank, and the members of the 32 tail classes are buckets of all other words, by a hash of
+their last three bytes.  The model is P(token) = P(class | context) * P(member | class, context) * P(token | member):
 
 * P(class | context) is a softmax whose logits add a row for the previous token, one for the hashed pair of the two before, and one
   for the token before the previous one (a skip feature) to the class's log frequency.
-* In a head class, P(token | class, context) is a softmax of the token's log frequency plus a hashed row of (class, previous token).
-* In a tail class it is (count + 1) / (tokens + words + 1), so that every word, seen or not, has its share.
+* P(member | class, context) is a softmax of the member's log frequency plus a hashed row of (class, previous token).
+* P(token | member) is 1 for a frequent token, and (count + 1) / (tokens + words + 1) within a bucket, so that every word, seen or not, has its share.
 
 Training makes one pass over all training documents in `ROUNDS` rounds of distinct documents.  In a round each task starts from the
 broadcast parameters and takes row-wise adaptive gradient steps over its documents; the tasks' changes are averaged per row,
@@ -41,20 +41,19 @@ from keyfold.llm import common
 WIDTH = 64
 HEAD = 2048
 TAILS = 32
-SUFFIXES = 32
+BUCKETS = TAILS * WIDTH
 KNOWN = 1 << 16
 ROUNDS = 3
 BATCH = 8192
 RATE = 0.15
 REMEMBERED = 300_000
 
-_START = HEAD + TAILS * SUFFIXES  # the context before a text
-_HEADS = HEAD // WIDTH
-_CLASSES = _HEADS + TAILS
-_BIGRAM, _PAIR, _SKIP, _WITHIN = 4096, 8192, 4096, 256
+_START = HEAD + BUCKETS  # the context before a text
+_CLASSES = HEAD // WIDTH + TAILS
+_BIGRAM, _PAIR, _SKIP, _WITHIN = 4608, 8192, 4608, 256
 #: First rows of the four tables in the parameters.
 _AT = (0, _BIGRAM, _BIGRAM + _PAIR, _BIGRAM + _PAIR + _SKIP)
-ROWS = _AT[3] + _HEADS * _WITHIN
+ROWS = _AT[3] + _CLASSES * _WITHIN
 BLOCK = 512
 
 
@@ -69,7 +68,7 @@ def suffix_hash(word: bytes) -> int:
 
 @dataclass
 class Counts:
-    """words, counts: the known tokens, most frequent first, without the end token; tails: (tokens, words) of each tail class."""
+    """words, counts: the known tokens, most frequent first, without the end token; tails: (tokens, words) of each bucket."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -85,18 +84,18 @@ class Coder:
     def __init__(self, counts: Counts):
         class Codes(dict):
             def __missing__(self, word: bytes) -> int:
-                code = KNOWN + suffix_hash(word) % (TAILS * SUFFIXES)
+                code = KNOWN + suffix_hash(word) % BUCKETS
                 if len(self) < KNOWN + REMEMBERED:
                     self[word] = code
                 return code
 
         self.codes = Codes(zip(counts.words, range(KNOWN), strict=False))
-        place = np.array([suffix_hash(w) % (TAILS * SUFFIXES) for w in counts.words] + [0] * (KNOWN - len(counts.words)), np.int64)
-        #: Code -> context: 1.. for words of the head, then suffix buckets.
-        self.context = np.concatenate([HEAD + place, HEAD + np.arange(TAILS * SUFFIXES)])
+        place = np.array([suffix_hash(w) % BUCKETS for w in counts.words] + [0] * (KNOWN - len(counts.words)), np.int64)
+        #: Code -> context: 1.. for words of the head, then buckets.
+        self.context = np.concatenate([HEAD + place, HEAD + np.arange(BUCKETS)])
         head = min(HEAD - 1, len(counts.words))
         self.context[:head] = np.arange(1, head + 1)
-        self.log_count = np.concatenate([np.log10(counts.counts + 1.0), np.zeros(KNOWN - len(counts.words) + TAILS * SUFFIXES)])
+        self.log_count = np.concatenate([np.log10(counts.counts + 1.0), np.zeros(KNOWN - len(counts.words) + BUCKETS)])
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
@@ -114,10 +113,6 @@ def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return flat[at], flat[at - 1], flat[at - 2], np.repeat(np.arange(len(texts)), size)[at]
 
 
-def class_of(token: np.ndarray) -> np.ndarray:
-    return np.where(token < HEAD, token // WIDTH, _HEADS + (token - HEAD) % TAILS)
-
-
 def features(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the previous token, of the hashed pair, and of the token before the previous."""
     pair = ((one * 4099 + two).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)
@@ -136,9 +131,10 @@ class Model:
         head[0] = counts.ends
         n = min(HEAD - 1, len(counts.words))
         head[1 : n + 1] = counts.counts[:n]
-        by_class = np.concatenate([head.reshape(_HEADS, WIDTH).sum(axis=1), counts.tails[:, 0]])
+        members = np.concatenate([head, counts.tails[:, 0]]).reshape(_CLASSES, WIDTH)
+        by_class = members.sum(axis=1)
         self.class_bias = np.log((by_class + 1) / (by_class.sum() + _CLASSES)).astype(np.float32)
-        self.word_bias = np.log((head + 0.5) / max(counts.tokens, 1)).reshape(_HEADS, WIDTH).astype(np.float32)
+        self.member_bias = np.log((members + 0.5) / max(counts.tokens, 1)).astype(np.float32)
         self.tail_log10 = np.log10(counts.tails.sum(axis=1) + 1.0)
         self.rows = np.zeros((ROWS, WIDTH), np.float32)
 
@@ -150,22 +146,21 @@ class Model:
         z += self.class_bias
         return z
 
-    def words(self, cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Logits of a class's words."""
+    def members(self, cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Logits of a class's members."""
         z = _take(self.rows, rows)
-        z += _take(self.word_bias, cls)
+        z += _take(self.member_bias, cls)
         return z
 
     def log10(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, for tail tokens less log10(count + 1)."""
+        """log10 probability of each token, for words in buckets less log10(count + 1)."""
         out = np.empty(len(token))
         for a in range(0, len(token), BATCH):
             t, o, w = token[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
-            cls = class_of(t)
+            cls = t // WIDTH
             p = _log_picked(self.classes(features(o, w)), cls)
-            head = np.flatnonzero(t < HEAD)
-            p[head] += _log_picked(self.words(cls[head], within(cls[head], o[head])), t[head] % WIDTH)
-            tail = np.where(t < HEAD, 0.0, self.tail_log10[np.maximum(cls - _HEADS, 0)])
+            p += _log_picked(self.members(cls, within(cls, o)), t % WIDTH)
+            tail = np.where(t < HEAD, 0.0, self.tail_log10[np.maximum(t - HEAD, 0)])
             out[a : a + BATCH] = p / math.log(10) - tail
         return out
 
@@ -201,16 +196,15 @@ class Learner:
 
     def step(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.model
-        cls = class_of(token)
+        cls = token // WIDTH
         f = features(one, two)
         g = _softmax(m.classes(f))
         np.negative(g, out=g)
         g[np.arange(len(token)), cls] += 1
-        head = np.flatnonzero(token < HEAD)
-        r = within(cls[head], one[head])
-        gw = _softmax(m.words(cls[head], r))
+        r = within(cls, one)
+        gw = _softmax(m.members(cls, r))
         np.negative(gw, out=gw)
-        gw[np.arange(len(head)), token[head] % WIDTH] += 1
+        gw[np.arange(len(token)), token % WIDTH] += 1
         for rows in f:
             self._apply(rows, g)
         self._apply(r, gw)
@@ -262,9 +256,9 @@ def count_tokens(train: DataFrame, text_col: str, held: int = 400_000) -> tuple[
     known = sorted(table.where(bucket >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))  # KNOWN words at most
     words = [bytes(r["word"]) for r in known]
     head = spark.createDataFrame(pa.table({"word": pa.array(words[: HEAD - 1], pa.binary())}))
-    tail = F.crc32(F.substring(F.col("word"), -3, 3)) % (TAILS * SUFFIXES) % TAILS
-    stats = table.join(F.broadcast(head), "word", "left_anti").groupBy(tail.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    tails = np.zeros((TAILS, 2))
+    of = F.crc32(F.substring(F.col("word"), -3, 3)) % BUCKETS
+    stats = table.join(F.broadcast(head), "word", "left_anti").groupBy(of.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    tails = np.zeros((BUCKETS, 2))
     for r in stats:
         tails[r["k"]] = r["n"], r["v"]
     total = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

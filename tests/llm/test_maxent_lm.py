@@ -37,15 +37,15 @@ def test_probabilities_sum_to_one():
     words = [f"w{i}".encode() for i in range(3000)]
     rng = np.random.default_rng(1)
     counts = np.sort(rng.integers(1, 500, 3000))[::-1].astype(float)
-    tails = np.zeros((lm.TAILS, 2))
+    tails = np.zeros((lm.BUCKETS, 2))
     for w, c in zip(words[lm.HEAD - 1 :], counts[lm.HEAD - 1 :]):
-        tails[lm.suffix_hash(w) % (lm.TAILS * lm.SUFFIXES) % lm.TAILS] += c, 1
+        tails[lm.suffix_hash(w) % lm.BUCKETS] += c, 1
     model = lm.Model(lm.Counts(words, counts, 40, int(counts.sum()) + 40, 3001, tails))
     model.rows = rng.normal(size=model.rows.shape).astype(np.float32)
     head = np.arange(lm.HEAD)
     one, two = np.full(lm.HEAD, 17), np.full(lm.HEAD, 2500)
     total = (10 ** model.log10(head, one, two)).sum()
-    for k in range(lm.TAILS):
+    for k in range(lm.BUCKETS):
         each = 10 ** model.log10(np.array([lm.HEAD + k]), one[:1], two[:1])[0]  # of a word with count 0
         total += each * (tails[k].sum() + 1)
     assert abs(total - 1) < 1e-4
@@ -53,7 +53,7 @@ def test_probabilities_sum_to_one():
 
 def test_learner_follows_the_gradient():
     rng = np.random.default_rng(2)
-    model = lm.Model(lm.Counts([b"a", b"b", b"c"], np.array([5.0, 4.0, 3.0]), 3, 15, 4, np.zeros((lm.TAILS, 2))))
+    model = lm.Model(lm.Counts([b"a", b"b", b"c"], np.array([5.0, 4.0, 3.0]), 3, 15, 4, np.zeros((lm.BUCKETS, 2))))
     token = rng.integers(0, 4, 600)
     one, two = np.roll(token, 1), np.roll(token, 2)
     token = (one + 1) % 4  # the previous token decides
