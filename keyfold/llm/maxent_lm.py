@@ -124,7 +124,7 @@ def within(cls: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Fixed log frequencies and the trained rows."""
+    """The trained rows; those of the previous token start from the classes' log frequencies, those within a class from its members'."""
 
     def __init__(self, counts: Counts):
         head = np.zeros(HEAD)
@@ -133,24 +133,21 @@ class Model:
         head[1 : n + 1] = counts.counts[:n]
         members = np.concatenate([head, counts.tails[:, 0]]).reshape(_CLASSES, WIDTH)
         by_class = members.sum(axis=1)
-        self.class_bias = np.log((by_class + 1) / (by_class.sum() + _CLASSES)).astype(np.float32)
-        self.member_bias = np.log((members + 0.5) / max(counts.tokens, 1)).astype(np.float32)
         self.tail_log10 = np.log10(counts.tails.sum(axis=1) + 1.0)
         self.rows = np.zeros((ROWS, WIDTH), np.float32)
+        self.rows[_AT[0] : _AT[1]] = np.log((by_class + 1) / (by_class.sum() + _CLASSES))
+        self.rows[_AT[3] :] = np.repeat(np.log((members + 0.5) / max(counts.tokens, 1)), _WITHIN, axis=0)
 
     def classes(self, f: tuple[np.ndarray, ...]) -> np.ndarray:
         """Logits of the classes."""
         z = _take(self.rows, f[0])
         z += _take(self.rows, f[1])
         z += _take(self.rows, f[2])
-        z += self.class_bias
         return z
 
-    def members(self, cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def members(self, rows: np.ndarray) -> np.ndarray:
         """Logits of a class's members."""
-        z = _take(self.rows, rows)
-        z += _take(self.member_bias, cls)
-        return z
+        return _take(self.rows, rows)
 
     def log10(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 probability of each token, for words in buckets less log10(count + 1)."""
@@ -159,7 +156,7 @@ class Model:
             t, o, w = token[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
             cls = t // WIDTH
             p = _log_picked(self.classes(features(o, w)), cls)
-            p += _log_picked(self.members(cls, within(cls, o)), t % WIDTH)
+            p += _log_picked(self.members(within(cls, o)), t % WIDTH)
             tail = np.where(t < HEAD, 0.0, self.tail_log10[np.maximum(t - HEAD, 0)])
             out[a : a + BATCH] = p / math.log(10) - tail
         return out
@@ -169,16 +166,32 @@ def _take(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.take(table, rows, axis=0, mode="clip")  # all rows are in range; clipping is the fast mode
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place; logits beyond +-60 are taken as that."""
+def _less_softmax(z: np.ndarray) -> np.ndarray:
+    """Minus the softmax, in place; logits beyond +-60 are taken as that."""
     np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    z *= (-1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
     return z
 
 
+def _sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sums of g's rows over groups: n[i] rows from order[first[i]] on; short groups, which most are, are added row by row."""
+    total = np.empty((len(n), g.shape[1]), g.dtype)
+    few = np.flatnonzero(n <= 4)
+    part = _take(g, order[first[few]])
+    for k in range(1, 4):
+        more = np.flatnonzero(n[few] > k)
+        part[more] += _take(g, order[first[few[more]] + k])
+    total[few] = part
+    many = np.flatnonzero(n > 4)
+    if len(many):
+        rows = _take(g, order[np.repeat(n > 4, n)]).view(np.complex64)  # two columns at a time
+        total[many] = np.add.reduceat(rows, np.cumsum(n[many]) - n[many], axis=0).view(g.dtype)
+    return total
+
+
 def _log_picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of _softmax(z) at one place of each row, without going through probabilities too small to hold; z is overwritten."""
+    """The logarithm of the softmax of z, clipped likewise, at one place of each row, without going through probabilities too small to hold; z is overwritten."""
     np.clip(z, -60, 60, out=z)
     picked = z[np.arange(len(z)), at].astype(float)
     np.exp(z, out=z)
@@ -198,12 +211,10 @@ class Learner:
         m = self.model
         cls = token // WIDTH
         f = features(one, two)
-        g = _softmax(m.classes(f))
-        np.negative(g, out=g)
+        g = _less_softmax(m.classes(f))
         g[np.arange(len(token)), cls] += 1
         r = within(cls, one)
-        gw = _softmax(m.members(cls, r))
-        np.negative(gw, out=gw)
+        gw = _less_softmax(m.members(r))
         gw[np.arange(len(token)), token % WIDTH] += 1
         for rows in f:
             self._apply(rows, g)
@@ -216,8 +227,9 @@ class Learner:
         sorted_rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
         which = sorted_rows[first]
-        total = np.add.reduceat(_take(g, order).view(np.complex64), first, axis=0).view(np.float32)  # two columns at a time
-        self.used[which] += np.diff(np.append(first, len(rows)))
+        n = np.diff(np.append(first, len(rows)))
+        total = _sums(g, order, first, n)
+        self.used[which] += n
         self.square[which] += np.einsum("ij,ij->i", total, total)
         total *= (RATE / np.sqrt(self.square[which] / 4 + 1.0))[:, None]
         self.model.rows[which] += total

@@ -76,3 +76,14 @@ def test_no_training_rows(spark):
     got = lm.score(table(spark, [(1, "a b"), (2, None)]), F.lit(False), rounds=1).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
     assert lm.score(table(spark, []), F.lit(True), rounds=1).count() == 0
+
+
+def test_sums_of_groups():
+    rng = np.random.default_rng(4)
+    rows = np.concatenate([rng.integers(0, 400, 600), np.full(90, 7), np.arange(400, 500)])
+    g = rng.normal(size=(len(rows), lm.WIDTH)).astype(np.float32)
+    order = np.argsort(rows, kind="stable")
+    which, first, n = np.unique(rows[order], return_index=True, return_counts=True)
+    want = np.zeros((500, lm.WIDTH))
+    np.add.at(want, rows, g)
+    assert np.allclose(lm._sums(g, order, first, n), want[which], atol=1e-4)
